@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bpe import op10_bpe
 from lodestone.llm.chunk_store import op5_chunk_store
+from lodestone.llm.iso_media import op4_iso_media
+from lodestone.llm.mixing import op7_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_chunk_store": op5_chunk_store, "op10_bpe": op10_bpe}
+    return {"op4_iso_media": op4_iso_media, "op7_mixing": op7_mixing, "op5_chunk_store": op5_chunk_store, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
