@@ -13,10 +13,11 @@ from lodestone.llm.iso_media import op4_iso_media
 from lodestone.llm.mixing import op7_mixing
 from lodestone.llm.outliers import op1_outliers
 from lodestone.llm.secrets import op9_secrets
+from lodestone.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_outliers": op1_outliers, "op2_chat_masks": op2_chat_masks, "op9_secrets": op9_secrets, "op4_iso_media": op4_iso_media, "op7_mixing": op7_mixing, "op5_chunk_store": op5_chunk_store, "op10_bpe": op10_bpe}
+    return {"op6_toxicity": op6_toxicity, "op1_outliers": op1_outliers, "op2_chat_masks": op2_chat_masks, "op9_secrets": op9_secrets, "op4_iso_media": op4_iso_media, "op7_mixing": op7_mixing, "op5_chunk_store": op5_chunk_store, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
