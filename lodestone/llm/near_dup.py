@@ -184,30 +184,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("key").agg(F.min("uid").alias("node"))
     # one row a distinct text, with what banding and checking need
     one = rows.groupBy("key").agg(F.min("uid").alias("uid")).select("uid")
-    bucket = written(rows.join(one, "uid").select("uid", "weight", F.explode("bands").alias("band")), "near-bands")
+    bucket = put(rows.join(one, "uid").select("uid", "weight", F.explode("bands").alias("band")), "bands")
     leaders = bucket.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = written(bucket.join(leaders, "band"), "near-buckets")
+    shared = put(bucket.join(leaders, "band"), "buckets")
     lead = shared.filter("uid = a").select("band", F.col("weight").alias("wa"))
     fits = lambda x, y: F.least(x, y) >= SIMILAR * F.greatest(x, y)
-    pairs = written(shared.filter("uid <> a").join(lead, "band").filter(fits(F.col("weight"), F.col("wa"))).select("a", F.col("uid").alias("b")).distinct(), "near-pairs")
+    pairs = put(shared.filter("uid <> a").join(lead, "band").filter(fits(F.col("weight"), F.col("wa"))).select("a", F.col("uid").alias("b")).distinct(), "pairs")
     met = shared.select("uid").distinct()
-    sets = written(rows.select("uid", "elements").join(met, "uid"), "near-sets")
+    sets = put(rows.select("uid", "elements").join(met, "uid"), "sets")
     links = put(checked(pairs, sets), "links")
     label = components(links)
     # buckets that hold nodes of more than one component: their nodes across components
     there = shared.select("band", "uid", "weight").join(label, F.col("uid") == F.col("node"), "left").select("band", "uid", "weight", F.coalesce("label", "uid").alias("label"))
     there = put(there, "labelled")
     mixed = there.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    left = written(there.join(mixed, "band"), "near-mixed")
+    left = put(there.join(mixed, "band"), "mixed")
     right = left.select("band", *[F.col(c).alias(f"{c}2") for c in ("uid", "weight", "label")])
     across = left.join(right, "band").filter((F.col("label") < F.col("label2")) & fits(F.col("weight"), F.col("weight2")))
     across = across.select(F.least("uid", "uid2").alias("a"), F.greatest("uid", "uid2").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(checked(written(across.join(done, ["a", "b"], "left_anti"), "near-across"), sets), "near-more")
+    more = put(checked(put(across.join(done, ["a", "b"], "left_anti"), "across"), sets), "more")
     if not more.isEmpty():
         label = components(put(links.union(more), "all"))
     named = nodes.join(label, nodes["node"] == label["node"], "left").select("key", F.coalesce(label["label"], nodes["node"]).alias("label"))
-    got = written(rows.select("row", "uid", "doc_id", "key").join(named, "key").select("uid", "doc_id", "label"), "near-classes")
+    got = put(rows.select("row", "uid", "doc_id", "key").join(named, "key").select("row", "uid", "doc_id", "label"), "classes")
+    remove(spark, *[f"{base}/{x}" for x in ("signatures", "bands", "buckets", "pairs", "sets", "labelled", "mixed", "across")])
     least = got.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     got = got.join(least, "label")
     keep = got.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("uid").alias("kept"))
