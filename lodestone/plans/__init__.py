@@ -1,0 +1 @@
+"""The tools over indexed tables."""

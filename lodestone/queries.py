@@ -1,11 +1,372 @@
-"""The queries over the retrieval operators and their SQL."""
+"""The queries over the retrieval operators and their SQL.
+
+Documents stand for chunks: doc_id the id, source the project, lang the language, text both meaning and content.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import graph, indexing, search
+from lodestone.streaming.debounce import debounce
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _path() -> object:
+    return F.concat_ws("/", F.lit(""), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{0}}, '')), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'), lambda x: x NOT IN ({_STOP}))"
+
+
+def _tok(col: str) -> str:
+    return _TOKENS.format(col)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src3' AND lang IN ('en', 'fr')")
+def scan_filter_project_lang(spark, sf):
+    return t(spark, sf, "documents").filter((F.col("source") == "src3") & F.col("lang").isin("en", "fr")).select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, substr(sha256(concat_ws('::', '/' || source || '/' || doc_id || '.txt', '__module__', '0')), 1, 16) AS id FROM documents")
+def chunk_id_hash(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.chunk_id(_path(), F.lit("__module__"), F.lit(0)).alias("id"))
+
+
+@query("""WITH a AS (SELECT page_id, url AS raw, replace(url, '_', ' ') AS snake FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(snake, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g') AS camel FROM a)
+SELECT page_id, lower(concat_ws(' ', raw, snake, camel, regexp_replace(regexp_replace(camel, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'))) AS tokens FROM b""")
+def code_tokenize(spark, sf):
+    return t(spark, sf, "pages").select("page_id", T.code_tokens(F.col("url")).alias("tokens"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY term")
+def token_df(spark, sf):
+    return search.postings(t(spark, sf, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(len({_tok('text')})), 6) AS avgdl FROM documents")
+def bm25_stats(spark, sf):
+    return search.bm25_stats(t(spark, sf, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _bm25_sql(docs: str, k: int) -> str:
+    return f"""d AS (SELECT doc_id AS id, {_tok('text')} AS tk FROM {docs}), s AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM d),
+p AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(tk) AS dl, unnest(tk) AS term FROM d) GROUP BY term, id, dl),
+q AS (SELECT item_id AS qid, unnest(list_distinct({_tok('text')})) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY qid, id),
+bm AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+def _asked(spark, sf) -> DataFrame:
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+@query(f"WITH {_bm25_sql('documents', 50)} SELECT qid, id, score, rank FROM bm")
+def bm25_topk(spark, sf):
+    return search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_bm25_sql('(SELECT * FROM documents WHERE source = $$src3$$)', 20)} SELECT qid, id, score, rank FROM bm")
+def bm25_topk_project(spark, sf):
+    return search.bm25(t(spark, sf, "documents").filter("source = 'src3'"), _asked(spark, sf), 20).select("qid", "id", "score", "rank")
+
+
+def _dense_sql(where: str, k: int) -> str:
+    dot = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+    return f"""dn AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({dot} / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {where} QUALIFY rank <= {k})"""
+
+
+def _vectors(spark, sf) -> DataFrame:
+    return t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def _asked_vectors(spark, sf) -> DataFrame:
+    """The stated query set of searches: every id divisible by 20."""
+    return _vectors(spark, sf).filter("id % 20 = 0").select(F.col("id").alias("qid"), "v")
+
+
+@query(f"WITH {_dense_sql('true', 20)} SELECT qid, id, score, rank FROM dn")
+def dense_topk(spark, sf):
+    return search.dense(_vectors(spark, sf), _asked_vectors(spark, sf), 20).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_dense_sql('v.label IN (1, 2)', 20)} SELECT qid, id, score, rank FROM dn")
+def dense_topk_prefilter(spark, sf):
+    return search.dense(_vectors(spark, sf).filter("label IN (1, 2)"), _asked_vectors(spark, sf), 20).select("qid", "id", "score", "rank")
+
+
+def _rrf_sql(a: str, wa: float, b: str, wb: float, k: int) -> str:
+    return f"""fu AS (SELECT qid, id, round(sum(part), 8) AS score, min(l * 1000000 + rank) AS spot FROM (
+SELECT qid, id, {wa} / (60 + rank) AS part, 0 AS l, rank FROM {a} UNION ALL SELECT qid, id, {wb} / (60 + rank), 1, rank FROM {b}) GROUP BY qid, id),
+rr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, spot, id) AS rank FROM fu QUALIFY rank <= {k})"""
+
+
+_HYBRID = f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50)}, {_rrf_sql('dn', 1.0, 'bm', 0.5, 10)}"
+
+
+def _lists(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return search.dense(_vectors(spark, sf), _asked_vectors(spark, sf), 50), search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50)
+
+
+@query(f"{_HYBRID} SELECT r.qid, r.id, r.score, r.rank, d.source, d.lang FROM rr r LEFT JOIN documents d ON d.doc_id = r.id")
+def hybrid_query(spark, sf):
+    """Dense and sparse lists, weights 1 and 0.5; a query's vector is the one of its id."""
+    dense, sparse = _lists(spark, sf)
+    got = search.rrf([(dense, 1.0), (sparse, 0.5)], 10)
+    return got.join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang"), "id", "left").select("qid", "id", "score", "rank", "source", "lang")
+
+
+@query(f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50)}, {_rrf_sql('dn', 1.0, 'bm', 1.0, 1000000)} SELECT qid, id, score, rank FROM rr")
+def rrf_fuse(spark, sf):
+    dense, sparse = _lists(spark, sf)
+    return search.rrf([(dense, 1.0), (sparse, 1.0)]).select("qid", "id", "score", "rank")
+
+
+_WANTED = "w AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+
+
+@query(f"WITH {_bm25_sql('documents', 50)}, {_WANTED}, e AS (SELECT w.qid, min(bm.rank) AS r FROM w LEFT JOIN bm ON bm.qid = w.qid AND bm.id = w.id GROUP BY w.qid) SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr_10 FROM e")
+def recall_mrr(spark, sf):
+    """Of the benchmark's passages: is a document that holds the passage's beginning found by it."""
+    b = F.broadcast(t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.expr("substr(text, 1, 60)").alias("start")))  # a benchmark, not the corpus
+    wanted = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(b, F.expr("contains(text, start)")).select("qid", "id")
+    return search.evaluate(search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50), wanted)
+
+
+@query(f"WITH {_bm25_sql('documents', 50)}, dd AS (SELECT doc_id AS id, {_tok('text')} AS tk FROM documents), qq AS (SELECT item_id AS qid, list_distinct({_tok('text')}) AS q FROM benchmark), x AS (SELECT bm.qid, bm.id, bm.rank AS old_rank, round(len(list_intersect(q, list_distinct(dd.tk))) / greatest(len(q), 1), 6) AS rerank_score FROM bm JOIN dd USING (id) JOIN qq USING (qid)) SELECT qid, id, old_rank, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, old_rank) AS rank FROM x")
+def rerank_lexical(spark, sf):
+    docs, asked = t(spark, sf, "documents"), _asked(spark, sf)
+    return search.rerank_lexical(search.bm25(docs, asked, 50), asked, docs).select("qid", "id", "old_rank", "rerank_score", "rank")
+
+
+@query("""WITH w AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')) AS word FROM benchmark),
+x AS (SELECT qid, doc_id AS id, count(*) AS score FROM w JOIN documents ON contains(lower(text), word) GROUP BY qid, doc_id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10""")
+def grep_discovery(spark, sf):
+    """Documents by how many of a query's longer words stand in them, also inside words."""
+    words = _asked(spark, sf).select("qid", F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))).alias("words"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("body")).join(F.broadcast(words))  # the benchmark's queries against all rows
+    got = d.withColumn("score", F.size(F.filter("words", lambda w: F.contains(F.col("body"), w))).cast("long")).filter("score > 0").select("qid", "id", "score")
+    return search.top(got, ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
+
+
+_LINES = "l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents), ln AS (SELECT doc_id, ls, len(ls) AS n FROM l WHERE len(ls) > 0)"
+
+
+@query(f"WITH {_LINES}, w AS (SELECT *, unnest(range(CASE WHEN n <= 8 THEN 1 ELSE 1 + CAST(ceil((n - 8) / 6.0) AS BIGINT) END)) AS i FROM ln) SELECT doc_id, i * 6 + 1 AS start_line, least(i * 6 + 8, n) AS end_line, sha256(array_to_string(ls[i * 6 + 1 : i * 6 + 8], chr(10))) AS content FROM w")
+def sliding_windows(spark, sf):
+    got = indexing.sliding_windows(t(spark, sf, "documents"), 8, 2)
+    return got.select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha2("content", 256).alias("content"))
+
+
+@query(f"WITH {_LINES}, f AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM (SELECT doc_id, unnest(range(1, n + 1)) AS line FROM ln) WHERE NOT (line BETWEEN 3 AND 4 OR line BETWEEN 12 AND 15)) SELECT doc_id, min(line) AS start_line, max(line) AS end_line FROM f GROUP BY doc_id, run HAVING count(*) >= 5")
+def gap_windows(spark, sf):
+    docs = t(spark, sf, "documents")
+    covered = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in ((3, 4), (12, 15))])).alias("r")).select("doc_id", "r.*")
+    return indexing.gap_runs(docs, covered).select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
+def _manifests(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Now: all documents but those of src1. Before: hashes that differ for ids 1 mod 7, times for 2 mod 7, none for 3 mod 7."""
+    d = t(spark, sf, "documents").select(_path().alias("file"), F.col("doc_id").cast("double").alias("mtime"), F.substring(F.sha2("text", 256), 1, 16).alias("hash"), "doc_id", "source")
+    m = F.col("doc_id") % 7
+    old = d.filter(m != 3).select("file", (F.col("mtime") + F.when(m == 2, 1.0).otherwise(0.0)).alias("mtime"), F.when(m == 1, "x").otherwise(F.col("hash")).alias("hash"))
+    return d.filter("source <> 'src1'").select("file", "mtime", "hash"), old
+
+
+@query("SELECT '/' || source || '/' || doc_id || '.txt' AS file, CASE WHEN source = 'src1' THEN 'orphan' WHEN doc_id % 7 = 3 THEN 'new' WHEN doc_id % 7 IN (1, 2) THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE NOT (source = 'src1' AND doc_id % 7 = 3)")
+def manifest_diff(spark, sf):
+    return indexing.manifest_diff(*_manifests(spark, sf))
+
+
+@query("SELECT doc_id AS id, CASE WHEN lang = 'en' THEN n_chars + 1 ELSE n_chars END AS size FROM documents")
+def merge_upsert(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("n_chars").alias("size"))
+    return indexing.upsert(d.select("id", "size"), d.filter("lang = 'en'").select("id", (F.col("size") + 1).alias("size")))
+
+
+@query("SELECT '/' || source || '/' || doc_id || '.txt' AS file FROM documents WHERE source <> 'src1' AND doc_id % 7 <> 3")
+def orphan_purge(spark, sf):
+    new, old = _manifests(spark, sf)
+    return indexing.purge(old, new).select("file")
+
+
+_EDGES = "e AS (SELECT DISTINCT * FROM (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation))"
+
+
+def _edges(spark, sf) -> DataFrame:
+    out = None
+    for table, a, b, x, y in (("customer", "customer", "nation", "c_custkey", "c_nationkey"), ("supplier", "supplier", "nation", "s_suppkey", "s_nationkey"), ("nation", "nation", "region", "n_nationkey", "n_regionkey")):
+        part = t(spark, sf, table).select(F.concat(F.lit(a + "/"), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + "/"), F.col(y).cast("string")).alias("dst"))
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM e")
+def graph_edges(spark, sf):
+    return _edges(spark, sf)
+
+
+_DEGREES = f"WITH {_EDGES}, g AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node)"
+
+
+@query(f"{_DEGREES} SELECT node, in_degree, out_degree FROM g")
+def graph_degrees(spark, sf):
+    return graph.degrees(_edges(spark, sf))
+
+
+@query(f"{_DEGREES} SELECT role, count(*) AS n FROM (SELECT CASE WHEN out_degree > 5 THEN 'hub' WHEN in_degree > 3 AND out_degree <= 2 THEN 'utility' WHEN out_degree >= 2 AND in_degree >= 2 THEN 'bridge' ELSE 'leaf' END AS role FROM g) GROUP BY role")
+def graph_roles(spark, sf):
+    return graph.roles(_edges(spark, sf)).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_EDGES} SELECT split_part(node, '/', 1) AS layer, count(DISTINCT node) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
+def graph_layers(spark, sf):
+    return graph.degrees(_edges(spark, sf)).groupBy(F.substring_index("node", "/", 1).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT DISTINCT src AS seed FROM e WHERE src LIKE 'supplier/%'), r1 AS (SELECT DISTINCT seed, dst AS node FROM s JOIN b ON b.src = s.seed), r2 AS (SELECT seed, node FROM r1 UNION SELECT r1.seed, b.dst FROM r1 JOIN b ON b.src = r1.node), k AS (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY node) AS r FROM r2 WHERE node <> seed) SELECT s.seed, coalesce(string_agg(node, ',' ORDER BY node), '') AS neighbors FROM s LEFT JOIN (SELECT * FROM k WHERE r <= 10) k ON k.seed = s.seed GROUP BY s.seed")
+def khop_neighbors(spark, sf):
+    e = _edges(spark, sf)
+    return graph.khop(e, e.filter(F.col("src").startswith("supplier/")).select(F.col("src").alias("node")).distinct(), 2)
+
+
+def _ppr_sql(rounds: int) -> str:
+    ctes = f"{_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT dst AS u, count(*) AS deg FROM e GROUP BY dst), k AS (SELECT count(*) AS k FROM n WHERE node LIKE 'supplier/%'), p AS (SELECT node, CASE WHEN node LIKE 'supplier/%' THEN 1.0::DOUBLE / k ELSE 0.0::DOUBLE END AS p, deg FROM n LEFT JOIN o ON o.u = node, k), r0 AS (SELECT node, p, deg, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM p)"
+    for i in range(1, rounds + 1):
+        ctes += f", f{i} AS (SELECT e.src AS v, sum(r / deg) AS x FROM e JOIN r{i - 1} ON node = e.dst GROUP BY e.src), z{i} AS (SELECT coalesce(sum(r), 0) AS z FROM r{i - 1} WHERE deg IS NULL), r{i} AS (SELECT node, p, deg, 0.85::DOUBLE * (coalesce(x, 0) + z * p) + (1 - 0.85::DOUBLE) * p AS r FROM r{i - 1} LEFT JOIN f{i} ON v = node, z{i})"
+    return ctes
+
+
+@query(f"WITH {_ppr_sql(3)} SELECT node, round(r, 8) AS ppr FROM r3")
+def reverse_ppr(spark, sf):
+    e = _edges(spark, sf)
+    got = graph.reverse_ppr(e, e.filter(F.col("src").startswith("supplier/")).select(F.col("src").alias("node")), iterations=3, tol=0.0)
+    return got.select("node", F.round("ppr", 8).alias("ppr"))
+
+
+@query("WITH a AS (SELECT s_suppkey AS id, 'nation/' || s_nationkey AS file, 1.0::DOUBLE / (60 + s_suppkey) AS score FROM supplier), b AS (SELECT 'nation/' || c_nationkey AS node, count(*)::DOUBLE AS ppr FROM customer GROUP BY 1) SELECT id, round(0.6::DOUBLE * score / (SELECT max(score) FROM a) + 0.4::DOUBLE * coalesce(ppr / (SELECT max(ppr) FROM b), 0), 6) AS score FROM a LEFT JOIN b ON file = node")
+def merge_rrf_ppr(spark, sf):
+    a = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("nation/"), F.col("s_nationkey").cast("string")).alias("file"), (1.0 / (60 + F.col("s_suppkey"))).alias("score"))
+    b = t(spark, sf, "customer").groupBy(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("ppr"))
+    return graph.merge_rrf_ppr(a, b)
+
+
+@query(f"WITH {_bm25_sql('documents', 50)}, x AS (SELECT bm.qid, bm.id, bm.score, d.source, max(bm.score) OVER (PARTITION BY qid) AS m FROM bm JOIN documents d ON d.doc_id = bm.id), y AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, id) AS pf FROM x WHERE score >= 0.35 * m) SELECT qid, id, round(score / m, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM y WHERE pf <= 2 QUALIFY rank <= 10")
+def find_existing(spark, sf):
+    """Hits of at least 0.35 of the best, two a file (here a source) at most, the first ten."""
+    got = search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50).join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    got = got.withColumn("m", F.max("score").over(W.partitionBy("qid"))).filter("score >= 0.35 * m")
+    got = search.top(got.drop("rank"), ("qid", "source"), 2, F.desc("score"), F.asc("id"), rank="pf")
+    return search.top(got.drop("pf"), ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", F.round(F.col("score") / F.col("m"), 6).alias("score"), "rank")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
+def symbol_exact(spark, sf):
+    part = t(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    return part.join(F.broadcast(part.agg(F.min("p_name").alias("p_name"))), "p_name", "left_semi").select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT p_name, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_name HAVING count(*) > 1")
+def dup_symbols(spark, sf):
+    return t(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands")).filter("n > 1")
+
+
+@query("""WITH h AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS spec FROM pages) SELECT h.src, h.spec, p.url IS NOT NULL AS resolved FROM h LEFT JOIN (SELECT DISTINCT url FROM pages) p ON p.url = h.spec""")
+def import_edges(spark, sf):
+    pages = t(spark, sf, "pages")
+    links = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("spec")).distinct()
+    known = pages.select(F.col("url").alias("spec"), F.lit(True).alias("k")).distinct()
+    return links.join(known, "spec", "left").select("src", "spec", F.coalesce("k", F.lit(False)).alias("resolved"))
+
+
+@query(f"WITH m AS (SELECT conv_id * 1000 + turn AS id, role, list_distinct({_tok('text')}) AS tk FROM conversations), q AS (SELECT item_id AS qid, list_distinct({_tok('text')}) AS q FROM benchmark), x AS (SELECT qid, id, CAST(len(list_intersect(q, tk)) AS BIGINT) AS score FROM m, q WHERE role = 'user' AND list_has_any(q, tk)) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10")
+def memory_recall(spark, sf):
+    """Notes of one category (users' turns) by how many of a query's terms they hold, any of them."""
+    m = t(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    q = _asked(spark, sf).select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    got = m.join(q, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
+    return search.top(got, ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
+
+
+def _route_sql(col: str) -> str:
+    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({col}), '{s.replace(chr(39), chr(39) * 2)}')" for s in said) + f" THEN '{tool}'" for tool, said in T.ROUTES.items())
+    return f"CASE {whens} ELSE 'query_code' END"
+
+
+@query(f"SELECT conv_id, turn, {_route_sql('text')} AS tool FROM conversations WHERE role = 'user'")
+def ask_route(spark, sf):
+    return t(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", T.route(F.col("text")).alias("tool"))
+
+
+@query("SELECT source AS project, lang AS language, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, max(doc_id) AS last FROM documents GROUP BY source, lang")
+def summarize_project(spark, sf):
+    return t(spark, sf, "documents").groupBy(F.col("source").alias("project"), F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("last"))
+
+
+@query("SELECT source AS project, CAST(sum(len(regexp_extract_all(text, '(?i)\\b(licensed|copyright|password|token)\\b'))) AS BIGINT) AS markers, CASE WHEN sum(len(regexp_extract_all(text, '(?i)\\b(licensed|copyright|password|token)\\b'))) > 20 THEN 'needs-attention' ELSE 'healthy' END AS health FROM documents GROUP BY source")
+def project_status_markers(spark, sf):
+    n = F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b(licensed|copyright|password|token)\b"), F.lit(1)))
+    got = t(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.sum(n).alias("markers"))
+    return got.withColumn("health", F.when(F.col("markers") > 20, "needs-attention").otherwise("healthy"))
+
+
+@query("SELECT source AS project, round(avg(CASE WHEN regexp_matches(text, '^The') THEN 1.0 ELSE 0.0 END), 2) AS ratio FROM documents GROUP BY source")
+def test_ratio(spark, sf):
+    return t(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.round(F.avg(F.col("text").rlike("^The").cast("double")), 2).alias("ratio"))
+
+
+@query("WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) FROM pages) SELECT url, root FROM (SELECT url, root, row_number() OVER (PARTITION BY url ORDER BY length(root) DESC) AS k FROM (SELECT DISTINCT url FROM pages) JOIN r ON root <> '' AND (url = root OR starts_with(url, root || '/'))) WHERE k = 1")
+def registry_longest_prefix(spark, sf):
+    """The longest registered root that holds a path by whole parts: an equi-join on the path's ancestors."""
+    urls = t(spark, sf, "pages").select("url").distinct()
+    roots = urls.select(F.explode(F.array(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1))).alias("root")).filter("root <> ''").distinct()
+    parts = F.split("url", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    got = urls.select("url", F.explode(above).alias("root")).join(roots, "root")
+    return got.groupBy("url").agg(F.max_by("root", F.length("root")).alias("root"))
+
+
+@query("SELECT user_id, count(*) AS total, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS done, round(100.0 * sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / count(*), 1) AS pct FROM events GROUP BY user_id")
+def index_progress(spark, sf):
+    done = F.sum((F.col("event_type") == "click").cast("long"))
+    return t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), done.alias("done"), F.round(100.0 * done / F.count(F.lit(1)), 1).alias("pct"))
+
+
+@query("WITH a AS (SELECT user_id AS project, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT project, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM b GROUP BY project, s")
+def debounce_sessions(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("project"), "ts", F.col("event_type").alias("path"))
+    return debounce(e, "6 hours").withColumn("paths", F.array_join("paths", ","))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
