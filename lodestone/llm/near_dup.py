@@ -8,9 +8,9 @@ documents agree in a coordinate with a probability that equals their similarity.
 k log k or the document's weight, whichever is more, not k times the weight.
 
 Equal word sequences are one node. Coordinates in bands give buckets. In a bucket every node is checked against the
-bucket's least one; after components of those links, buckets that still hold more than one component are joined
-across components, so no link between them is lost; then components again. So a bucket of n copies of one text costs n
-checks. A check is exact, on sorted arrays of shingle hashes. Rows per bucket, leaders and links are grouped by partial sums and
+one that meets the most nodes over all bands; after components of those links, nodes of buckets that still hold more than one
+component are joined across components by exact prefix filtering (prefix_pairs), so no link between them is lost; then
+components again. So a bucket of n copies of one text costs n checks. A check is exact, on sorted arrays of shingle hashes. Rows per bucket, leaders and links are grouped by partial sums and
 joined by keys that AQE can split; nothing is gathered for a bucket, and labels never reach the driver.
 
 Recall: at similarity 0.8 a pair meets in some bucket with probability 0.9994, at 0.85 with over 0.999999.
@@ -175,6 +175,30 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def prefix_pairs(nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of nodes (uid, label, elements) of different labels that can have a Jaccard of least; none is missed.
+
+    With elements from the rarest on, sets of n <= m elements with that Jaccard share one among the first
+    n - 2 least n / (1 + least) + 1 of the smaller and m - least m + 1 of the larger, and enough are left behind it.
+    Texts that have much in common but not enough begin with what is theirs alone, and don't meet.
+    """
+    kinds = "uid long, label long, e array<long>"
+    listed = map_columns(nodes.select("uid", "label", "elements"), lambda c: {"uid": c["uid"], "label": c["label"], "e": [np.frombuffer(x, np.uint32).astype(np.int64) for x in c["elements"]]}, kinds)
+    each = written(listed.select("uid", "label", F.size("e").alias("n"), F.explode("e").alias("e")), "near-elements")
+    often = each.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
+    order = each.join(often.filter("often > 1"), "e", "left").groupBy("uid", "label", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "e"))).alias("es"))
+    whole = 2 * least / (1 + least)
+    # an element that stands in one set alone joins nothing
+    first = order.select("uid", "label", "n", F.posexplode(F.expr(f"slice(es, 1, n - CAST(ceil({least} * n - 1e-9) AS INT) + 1)")).alias("i", "x")).select("uid", "label", "n", "i", "x.*").filter("often > 1").drop("often")
+    first = written(first, "near-prefixes")
+    small = first.filter(F.col("i") <= F.col("n") - F.ceil(whole * F.col("n") - 1e-9))
+    large = first.select("e", *[F.col(c).alias(f"{c}2") for c in ("uid", "label", "n", "i")])
+    turn = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("uid") < F.col("uid2")))
+    behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
+    got = small.join(large, "e").filter(turn & behind & (F.col("label") != F.col("label2")))
+    return got.select(F.least("uid", "uid2").alias("a"), F.greatest("uid", "uid2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its class), row (monotonically_increasing_id() of docs) and first (whether it is the one of its class to keep)."""
     spark = docs.sparkSession
@@ -185,11 +209,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # one row a distinct text, with what banding and checking need
     one = rows.groupBy("key").agg(F.min("uid").alias("uid")).select("uid")
     bucket = put(rows.join(one, "uid").select("uid", "weight", F.explode("bands").alias("band")), "bands")
-    leaders = bucket.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = put(bucket.join(leaders, "band"), "buckets")
-    lead = shared.filter("uid = a").select("band", F.col("weight").alias("wa"))
+    sizes = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = put(bucket.join(sizes, "band"), "sized")
+    # a bucket's leader is its node that meets the most others over all bands: the text that the others are copies of
+    degree = sized.groupBy("uid").agg(F.sum("n").alias("degree"))
+    shared = put(sized.drop("n").join(degree, "uid"), "buckets")
+    lead = shared.groupBy("band").agg(F.max(F.struct("degree", "uid", "weight")).alias("lead"))
     fits = lambda x, y: F.least(x, y) >= SIMILAR * F.greatest(x, y)
-    pairs = put(shared.filter("uid <> a").join(lead, "band").filter(fits(F.col("weight"), F.col("wa"))).select("a", F.col("uid").alias("b")).distinct(), "pairs")
+    met = shared.join(lead, "band").filter((F.col("uid") != F.col("lead.uid")) & fits(F.col("weight"), F.col("lead.weight")))
+    pairs = put(met.select(F.col("lead.uid").alias("a"), F.col("uid").alias("b")).distinct(), "pairs")
     met = shared.select("uid").distinct()
     sets = put(rows.select("uid", "elements").join(met, "uid"), "sets")
     links = put(checked(pairs, sets), "links")
@@ -198,17 +226,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     there = shared.select("band", "uid", "weight").join(label, F.col("uid") == F.col("node"), "left").select("band", "uid", "weight", F.coalesce("label", "uid").alias("label"))
     there = put(there, "labelled")
     mixed = there.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    left = put(there.join(mixed, "band"), "mixed")
-    right = left.select("band", *[F.col(c).alias(f"{c}2") for c in ("uid", "weight", "label")])
-    across = left.join(right, "band").filter((F.col("label") < F.col("label2")) & fits(F.col("weight"), F.col("weight2")))
-    across = across.select(F.least("uid", "uid2").alias("a"), F.greatest("uid", "uid2").alias("b")).distinct()
+    left = put(there.join(mixed, "band").select("uid", "label").distinct(), "mixed")
+    across = prefix_pairs(left.join(sets, "uid"))
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = put(checked(put(across.join(done, ["a", "b"], "left_anti"), "across"), sets), "more")
     if not more.isEmpty():
         label = components(put(links.union(more), "all"))
     named = nodes.join(label, nodes["node"] == label["node"], "left").select("key", F.coalesce(label["label"], nodes["node"]).alias("label"))
     got = put(rows.select("row", "uid", "doc_id", "key").join(named, "key").select("row", "uid", "doc_id", "label"), "classes")
-    remove(spark, *[f"{base}/{x}" for x in ("signatures", "bands", "buckets", "pairs", "sets", "labelled", "mixed", "across")])
+    remove(spark, *[f"{base}/{x}" for x in ("signatures", "bands", "sized", "buckets", "pairs", "sets", "labelled", "mixed", "across")])
     least = got.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     got = got.join(least, "label")
     keep = got.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("uid").alias("kept"))
