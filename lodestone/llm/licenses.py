@@ -8,16 +8,23 @@ make a candidate; the document's part around it is aligned with the template ins
 gives the matched words, the coverage of the template and the span in the text. A short notice has fewer words than a
 fingerprint run; its windows are all kept.
 
+A template of more than SHORT words whose parts lie on several diagonals, as where more than BAND words were put into
+it, is then chained: of its windows outside the matches found so far the longest run that rises in text and template,
+and the words between them, near them. Coverage is that of the whole chain, whatever lies between its parts.
+A template that names a license matches only where the license's name and version stand in the matched parts (TELLING).
+
 Rows are independent: no shuffle, one row in memory; a band's cells are bounded by the template's length.
 
 Defined results: null, empty and wordless texts have no match; repeated rows give repeated results; a text that holds a
-template several times gives a match for each place; of overlapping matches the one with more matched words stays, of
-equal ones the first template by name. Other columns aren't looked at.
+template several times gives a match for each place; of matches whose parts overlap the one with more matched words
+stays, of equal ones the first template by name; a match between the parts of another stays too. Other columns aren't
+looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +36,8 @@ from lodestone.llm.common import map_columns, span_hashes, table
 K, WINDOW, BAND = 3, 4, 8
 #: Share of a template's words that a match has at least.
 COVERAGE = 0.7
+#: Templates of so many words or fewer have to stand in one band.
+SHORT = 16
 
 # Public texts of licenses and of the notices that refer to them.
 TEMPLATES = {
@@ -47,11 +56,41 @@ TEMPLATES = {
     "mit-notice": "Released under the MIT License",
     "mit-licensed": "Licensed under the MIT License",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission",
+    "all-rights-reserved": "All rights reserved",
+    "all-rights-reserved-work": "All rights reserved. No part of this work may be reproduced without permission",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-_TOKEN = re.compile(r"[^\W_]+")
+
+def _named(name: str, version: str | None = None) -> re.Pattern:
+    """A name and, if given, the first number after it, or one of a list of numbers there, as a whole; 2 is 2.0."""
+    if version is None:
+        return re.compile(rf"(?<![^\W_])(?:{name})(?![^\W_])", re.IGNORECASE)
+    words, listed = r"(?:[\W_]+[^\W\d_]+){0,16}?[\W_]*", r"(?:\d+(?:\.\d+)*[\W_]+(?:(?:or|and|versions?|v)[\W_]*)*)*"
+    return re.compile(rf"(?<![^\W_])(?:{name})(?![^\W\d_]){words}(?<!\d)(?<!\d\.){listed}{version}(?:\.0)*(?!\.?\d)", re.IGNORECASE)
+
+
+_GAP = r"[\W_]+"
+_APACHE, _MIT = _named("apache", "2"), _named("mit")
+_GPL = rf"gnu{_GAP}(?:general{_GAP}public{_GAP}licen[sc]e|gpl)"
+# The name and version that must stand in a match of these templates.
+TELLING = {
+    "apache-2.0-notice": _APACHE,
+    "apache-2.0-header": _APACHE,
+    "cc-by-4.0-notice": _named(rf"cc{_GAP}by(?!{_GAP}(?:nc|sa|nd)(?![^\W_]))", "4"),
+    "cc-by-nc-4.0-notice": _named(rf"cc{_GAP}by{_GAP}nc(?!{_GAP}(?:sa|nd)(?![^\W_]))", "4"),
+    "cc-by-sa-4.0-notice": _named(rf"cc{_GAP}by{_GAP}sa", "4"),
+    "cc-by-4.0-work": _named(rf"creative{_GAP}commons{_GAP}attribution(?!{_GAP}(?:non[\W_]*commercial|share[\W_]*alike|no[\W_]*deriv))", "4"),
+    "gpl-2.0-notice": _named(_GPL, "2"),
+    "gpl-3.0-notice": _named(_GPL, "3"),
+    "gpl-3.0-work": _named(_GPL, "3"),
+    "mit-notice": _MIT,
+    "mit-licensed": _MIT,
+    "mpl-2.0-notice": _named(rf"mozilla{_GAP}public{_GAP}licen[sc]e|mpl", "2"),
+}
+
+_TOKEN = re.compile(r"(?<![^\W_])[vV](?=\d)|[^\W_]+")  # v2 is v, 2
+_NUMBER = re.compile(r"(?:\.?\d)*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,12 +132,17 @@ class Index:
         self.names = sorted(templates)
         self.words = [tokens(templates[n])[0] for n in self.names]
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.telling = [TELLING.get(n) if templates[n] == TEMPLATES.get(n) else None for n in self.names]
         self.grams: set[tuple[str, ...]] = set()  # the fingerprints' words
+        self.places: list[dict[tuple[str, ...], list[int]]] = []  # of each template, all windows' words with their places
         for t, words in enumerate(self.words):
             g = windows(token_hashes(words))
             for i in winnow(g):
                 self.at[int(g[i])].append((t, i))
             self.grams.update(tuple(words[i : i + K]) for i in winnow(g))
+            self.places.append(defaultdict(list))
+            for i in range(len(words) - K + 1):
+                self.places[t][tuple(words[i : i + K])].append(i)
         self.keys = np.sort(np.array(list(self.at), np.uint64))
 
 
@@ -127,6 +171,72 @@ def align(doc: list[str], template: list[str], shift: int, band: int = BAND) ->
     return m, -s, e
 
 
+def common(doc: list[str], template: list[str]) -> list[int]:
+    """The places in doc of a longest common subsequence with template, late ones first."""
+    size = [[0] * (len(template) + 1) for _ in range(len(doc) + 1)]
+    for i, w in enumerate(doc):
+        for j, x in enumerate(template):
+            size[i + 1][j + 1] = size[i][j] + 1 if w == x else max(size[i][j + 1], size[i + 1][j])
+    out, i, j = [], len(doc), len(template)
+    while i and j:
+        if doc[i - 1] == template[j - 1] and size[i][j] == size[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif size[i - 1][j] >= size[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def chain(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The longest run of hits (place in text, place in template) that rises in both; of equal ones the one that starts last."""
+    best: list[tuple[int, int, int]] = [(0, 0, 1)] * size  # by place in the template, of the runs that end there: hits, start, last hit negated
+    before = [-1] * len(hits)
+    for at, (i, j) in enumerate(hits):  # by i, of equal ones the greatest j first
+        n, start, last = max(best[:j], default=(0, 0, 1))
+        before[at] = -last
+        best[j] = max(best[j], (n + 1, start if n else i, -at))
+    out, at = [], -max(best)[2]
+    while at >= 0:
+        out.append(hits[at])
+        at = before[at]
+    return out[::-1]
+
+
+def chained(words: list[str], template: list[str], hits: list[tuple[int, int]]) -> list[int]:
+    """The places in the text that a chain of hits matches: its windows' words, and those between and beside them.
+
+    Between two windows as many words of the text as the template has there, and BAND more, are compared at either end.
+    """
+    run = chain(hits, len(template))
+    got = {i + k for i, _ in run for k in range(K)}
+    bounds = [(-1, -1), *((i + k, j + k) for i, j in run for k in range(K)), (len(words), len(template))]
+    seen: list[tuple[int, int]] = []
+    for x in sorted(set(bounds)):
+        if not seen or (x[0] > seen[-1][0] and x[1] > seen[-1][1]):
+            seen.append(x)
+    got &= {i for i, _ in seen}
+    for (i, j), (p, q) in zip(seen, seen[1:], strict=False):
+        room = q - j - 1 + BAND
+        if q - j > 1 and p - i > 1:
+            at = list(range(i + 1, p))
+            if i < 0:
+                at = at[-room:]
+            elif p == len(words):
+                at = at[:room]
+            elif len(at) > 2 * room:
+                at = at[:room] + at[-room:]
+            got.update(at[k] for k in common([words[k] for k in at], template[j + 1 : q]))
+    return sorted(got)
+
+
+def parts_of(places: list[int]) -> list[tuple[int, int]]:
+    """First and last places of the parts: runs with no more than BAND words between two of them."""
+    cut = [k for k in range(1, len(places)) if places[k] - places[k - 1] > BAND + 1]
+    return [(places[a], places[b - 1]) for a, b in zip([0, *cut], [*cut, len(places)], strict=True)]
+
+
 def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
     """(template, start, end, matched words, coverage): places in code points of the text, in order."""
     if not text:
@@ -141,20 +251,43 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
     for i in np.flatnonzero(np.isin(g, index.keys)).tolist():
         for t, j in index.at[int(g[i])]:
             hits[t].append((i - j, i))
+
+    def put(t: int, m: int, parts: list[tuple[int, int]]) -> None:
+        if telling := index.telling[t]:
+            there = " ".join(text[starts[a] : _NUMBER.match(text, ends[e]).end()] for a, e in parts)
+            if not telling.search(there):
+                return
+        found.append((index.names[t], starts[parts[0][0]], ends[parts[-1][1]], m, m / len(index.words[t]), parts))
+
     for t, diagonals in hits.items():
-        last = None
+        template, last, near = index.words[t], None, []
         for shift, _ in sorted(diagonals):
             if last is not None and shift - last <= BAND // 2:
                 continue  # the band around the last candidate holds this one
             last = shift
-            m, a, e = align(words, index.words[t], shift)
-            if m >= least * len(index.words[t]):
-                found.append((index.names[t], starts[a], ends[e], m, m / len(index.words[t])))
+            m, a, e = align(words, template, shift)
+            if m >= least * len(template):
+                put(t, m, [(a, e)])
+                near.append((a, e))
+        if len(template) <= SHORT:
+            continue
+        near.sort()
+        heads, places = [a for a, _ in near], index.places[t]
+        reach = np.maximum.accumulate([e for _, e in near]).tolist() if near else []
+        inside = lambda i: (k := bisect_right(heads, i + K - 1)) and reach[k - 1] >= i  # noqa: E731, B023
+        left = [(i, j) for i, w in enumerate(zip(*(words[k:] for k in range(K)), strict=False)) if w in places and not inside(i) for j in reversed(places[w])]
+        while K * len({j for _, j in left}) >= least * len(template) / 2 and len({i - j for i, j in left}) > 1:
+            at = chained(words, template, left)
+            if len(at) < least * len(template):
+                break
+            put(t, len(at), parts_of(at))
+            used = set(at)
+            left = [(i, j) for i, j in left if used.isdisjoint(range(i, i + K))]
     kept: list[tuple] = []
     for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
-        if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
+        if all(a > d or c > b for y in kept for a, b in x[5] for c, d in y[5]):
             kept.append(x)
-    return sorted(kept, key=lambda x: (x[1], x[0]))
+    return [x[:5] for x in sorted(kept, key=lambda x: (x[1], x[0]))]
 
 
 _BUILT: dict[int, Index] = {}

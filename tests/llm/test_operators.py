@@ -296,3 +296,23 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
             df = spark.read.parquet(at)
         assert set(df.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
         assert (df.count() > 0) == (name == "full")
+
+
+def test_license_names_versions_and_long_insertions():
+    ix = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [x[0] for x in licenses.matches(text, ix)]
+    assert licenses.matches("x All rights reserved. y", ix) == [("all-rights-reserved", 2, 21, 3, 1.0)]
+    assert names(licenses.TEMPLATES["all-rights-reserved-work"]) == ["all-rights-reserved-work"]
+    for wrong in ("Licensed under the BSD License", "Licensed under the Apache License, Version 1.1, section 2", "Licensed under the Apache License, Version 2.1", "This work is licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU General Public License, version 2", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY 3.0"):
+        assert names(wrong) == [], wrong
+    for right in ("Licensed under the Apache License v2.0", "Licensed under the Apache Software License, Version 2.0", "licensed under the apache license, version 2"):
+        assert names(right) == ["apache-2.0-notice"], right
+    assert names("This work is licensed under the GNU General Public License, version 2 or 3.") == ["gpl-3.0-work"]
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        assert names(said(30, 1) + " " + text + " " + said(30, 2)) == [name]
+        if len(w) > licenses.SHORT + 4:
+            for n in (9, 60, 900):
+                got = licenses.matches(" ".join([*w[: len(w) // 2], *said(n, n).split(), "All rights reserved.", *said(20, 6).split(), *w[len(w) // 2 :]]), ix)
+                assert [x[0] for x in got] == [name, "all-rights-reserved"] and got[0][4] > 0.95, (name, n, got)
+            assert names(f"{text} {said(40, 7)} {text}") == [name] * 2
