@@ -35,8 +35,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 FORMATS = {
     "pat": re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),  # pem_keys() takes the whole key
 }
+# The end of a private key, what parts the lines of one (also in string literals), header lines, and base64 lines.
+_PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_PEM_GAP = r"""(?:\s|\\[nrt]|["'`+,;>#*|\\])"""
+_PEM_HEAD = r"(?:(?:Proc-Type|DEK-Info|Comment|[A-Z][A-Za-z]*-[A-Za-z-]+):[^\n\\]*(?:\\?\n|\\n|\\r))"
+_PEM_BODY = re.compile(rf"{_PEM_GAP}*(?:{_PEM_HEAD}{_PEM_GAP}*)*((?:[A-Za-z0-9+/]+={{0,2}}{_PEM_GAP}*)*)")
+_PEM_RUN = re.compile(rf"{_PEM_GAP}*(?:{_PEM_HEAD}{_PEM_GAP}*)*((?:[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_PEM_GAP}+(?=[A-Za-z0-9+/]{{16}}))?)+(?:{_PEM_GAP}+(?:[A-Za-z0-9+/]{{1,15}}={{1,2}}|(?<=[\nnr])[A-Za-z0-9+/]{{1,15}}(?=\s*\n|\s*$)))?)")
+_PEM_PARTS = re.compile(r"\\[nrt]|(?<![A-Za-z0-9+/=])\+(?![A-Za-z0-9+/=])|[^A-Za-z0-9+/=]+")
 ORDER = {k: i for i, k in enumerate((*BASE, *FORMATS, "live"))}
 #: A secret of this many owners or more is a copied example; live-looking ones have one owner and at most so many repositories.
 EXAMPLE_OWNERS, LIVE_REPOSITORIES = 3, 20
@@ -59,10 +66,27 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
         found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     for kind, p in FORMATS.items():
-        found += [(kind, m.start(), m.end(), m[0]) for m in p.finditer(text)]
+        found += pem_keys(text) if kind == "pem" else [(kind, m.start(), m.end(), m[0]) for m in p.finditer(text)]
     return sorted(found, key=lambda x: (x[1], ORDER[x[0]]))
 
 
+def pem_keys(text: str) -> list[tuple[str, int, int, str]]:
+    """Private keys from BEGIN to END, or without an END to the end of the base64 run; the secret is the body, however it is broken into lines.
+
+    A header with no body is a span of its own with an empty secret.
+    """
+    found = []
+    for m in FORMATS["pem"].finditer(text):
+        whole = _PEM_BODY.match(text, m.end())
+        if end := _PEM_END.match(text, whole.end()):
+            found.append(("pem", m.start(), end.end(), _PEM_PARTS.sub("", whole[1])))
+        elif run := _PEM_RUN.match(text, m.end()):
+            found.append(("pem", m.start(), run.end(), _PEM_PARTS.sub("", run[1])))
+        else:
+            found.append(("pem", m.start(), m.end(), ""))
+    return found
+
+
 def listed(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
