@@ -1,16 +1,18 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three base patterns and some of well-known key formats give candidates with their spans. A candidate's secret part is
-hashed; over the whole corpus each hash is counted by distinct repositories and distinct owners. A secret that many
-owners hold is a copied example; one that belongs to few repositories of one owner and looks random is live-looking.
+hashed; over the whole corpus each hash is counted by distinct owners and distinct texts, near-duplicates being one text.
+A secret that EXAMPLE_OWNERS owners or more hold, in as many texts or more, is a copied example; any other that looks
+random is live-looking, in however many rows it stands: copies of one document, by one owner or many, prove nothing.
 The method's spans (kind "live") mark the latter; base spans stay as they are.
 
-What moves: a row for each candidate (a few words and the hash, no text), and counts that each task has summed up
-first. Counting is by (hash, owner, repository), then (hash, owner), then hash, each a partial sum before it is
-dealt, so a secret that a third of all rows hold is no hot group.
+What moves: a row for each candidate (a few words and the hash), and counts that each task has summed up first.
+Counting is by (hash, owner), then hash, each a partial sum before it is dealt, so a secret that a third of all rows
+hold is no hot group. Of texts, those that hold candidates are written beside them, and those that hold a secret of
+EXAMPLE_OWNERS owners are compared.
 
-Defined results: null or empty text has no spans; null owners and repositories count as one owner or repository each;
-repeated rows count once for their repository and get the same spans each; only the columns named are looked at.
+Defined results: null or empty text has no spans; null owners count as one owner; repeated rows are one text and get
+the same spans each; only the columns named are looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_columns, table
+from lodestone.llm.near_dup import near_duplicates
 from lodestone.session import written
 
 # The kinds and patterns of the base spans, in their order.
@@ -45,8 +48,8 @@ _PEM_BODY = re.compile(rf"{_PEM_GAP}*(?:{_PEM_HEAD}{_PEM_GAP}*)*((?:[A-Za-z0-9+/
 _PEM_RUN = re.compile(rf"{_PEM_GAP}*(?:{_PEM_HEAD}{_PEM_GAP}*)*((?:[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_PEM_GAP}+(?=[A-Za-z0-9+/]{{16}}))?)+(?:{_PEM_GAP}+(?:[A-Za-z0-9+/]{{1,15}}={{1,2}}|(?<=[\nnr])[A-Za-z0-9+/]{{1,15}}(?=\s*\n|\s*$)))?)")
 _PEM_PARTS = re.compile(r"\\[nrt]|(?<![A-Za-z0-9+/=])\+(?![A-Za-z0-9+/=])|[^A-Za-z0-9+/=]+")
 ORDER = {k: i for i, k in enumerate((*BASE, *FORMATS, "live"))}
-#: A secret of this many owners or more is a copied example; live-looking ones have one owner and at most so many repositories.
-EXAMPLE_OWNERS, LIVE_REPOSITORIES = 3, 20
+#: A secret of this many owners or more, in this many texts or more, is a copied example.
+EXAMPLE_OWNERS = 3
 #: Bits a character that a live-looking secret has at least.
 LIVE_BITS = 2.5
 
@@ -91,46 +94,57 @@ def listed(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row a document, no text: the columns named, uid, base counts and digest, and its candidates."""
+def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
+    """One row a document: its id and owner, uid, base counts and digest, its candidates, and its text if it has any."""
     kind = dict(docs.dtypes)
 
     def run(c: dict) -> dict:
-        out: dict = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "found")}
+        out: dict = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "found", "text")}
         for t in c["text"]:
             got = candidates(t)
             base = [x[:3] for x in got if x[0] in BASE]
             for k in BASE:
                 out[f"n_{k}"].append(sum(x[0] == k for x in base))
             out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
+            out["text"].append(t if got else None)
             out["found"].append([{"kind": k, "start": a, "stop": b, "secret": hashlib.sha256(s.encode()).digest()[:16], "random": bits(s) >= LIVE_BITS} for k, a, b, s in got])
-        return {k: c[k] for k in ("uid", "id", "owner", "repository")} | out
+        return {k: c[k] for k in ("uid", "id", "owner")} | out
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("id"), docs[owner].cast("string").alias("owner"), docs[repository].cast("string").alias("repository"), "text")
-    schema = f"uid long, id {kind['doc_id']}, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind string, start long, stop long, secret binary, random boolean>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs["doc_id"].alias("id"), docs[owner].cast("string").alias("owner"), "text")
+    schema = f"uid long, id {kind['doc_id']}, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind string, start long, stop long, secret binary, random boolean>>, text string"
     return map_columns(rows, run, schema)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """secret, owners, repositories: distinct ones over the whole corpus."""
-    each = scanned.select("owner", "repository", F.explode("found.secret").alias("secret"))
-    each = each.groupBy("secret", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return each.groupBy("secret").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    """secret, owners, texts: distinct ones over the whole corpus; texts is null where fewer than EXAMPLE_OWNERS hold it. scanned: written."""
+    each = scanned.select("uid", "owner", F.explode("found.secret").alias("secret"))
+    owners = written(each.groupBy("secret", "owner").agg(F.lit(1).alias("one")).groupBy("secret").agg(F.count(F.lit(1)).alias("owners")), "secrets-owners")
+    wide = owners.filter(F.col("owners") >= EXAMPLE_OWNERS).select("secret")
+    wide = written(each.select("uid", "secret").distinct().join(wide, "secret"), "secrets-wide")
+    if wide.isEmpty():
+        return owners.withColumn("texts", F.lit(None).cast("long"))
+    some = scanned.filter("text IS NOT NULL").select(F.col("uid").alias("doc_id"), "text").join(wide.select(F.col("uid").alias("doc_id")).distinct(), "doc_id")
+    classes = near_duplicates(written(some, "secrets-texts")).select(F.col("doc_id").alias("uid"), F.col("class_id").alias("class"))
+    texts = wide.join(classes, "uid").groupBy("secret", "class").agg(F.lit(1).alias("one")).groupBy("secret").agg(F.count(F.lit(1)).alias("texts"))
+    return owners.join(texts, "secret", "left")
+
+
+def is_example():
+    return (F.col("owners") >= EXAMPLE_OWNERS) & (F.coalesce("texts", F.lit(0)) >= EXAMPLE_OWNERS)
 
 
 def judged(scanned: DataFrame) -> DataFrame:
-    """uid and its candidates with owners, repositories and verdict (example, live or unclear), for rows that have any."""
+    """uid and its candidates with owners, texts and verdict (example, live, or unclear where it doesn't look random), for rows that have any."""
     each = scanned.select("uid", F.explode("found").alias("x")).select("uid", "x.*").join(ownership(scanned), "secret")
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES) & F.col("random"), "live").otherwise("unclear")
-    each = each.withColumn("verdict", verdict)
-    return each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "owners", "repositories", "verdict"))).alias("judged"))
+    each = each.withColumn("verdict", F.when(is_example(), "example").when(F.col("random"), "live").otherwise("unclear"))
+    return each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "owners", "texts", "verdict"))).alias("judged"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """doc_id, base counts and digest, spans (base, formats, live), and each candidate's verdict (judged)."""
-    scanned = written(scan(docs, owner, repository), "secrets")
+    scanned = written(scan(docs, owner), "secrets")
     order = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])
-    got = scanned.join(judged(scanned).withColumnRenamed("uid", "u"), F.col("uid") == F.col("u"), "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start long, stop long, kind string, owners long, repositories long, verdict string>>")))
+    got = scanned.join(judged(scanned).withColumnRenamed("uid", "u"), F.col("uid") == F.col("u"), "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start long, stop long, kind string, owners long, texts long, verdict string>>")))
     mark = lambda x, kind: F.struct(x["start"].alias("start"), order[kind].alias("order"), kind.alias("kind"), x["stop"].alias("stop"))
     base = F.transform("judged", lambda x: mark(x, x["kind"]))
     live = F.array_distinct(F.transform(F.filter("judged", lambda x: x["verdict"] == "live"), lambda x: mark(x, F.lit("live"))))
@@ -138,15 +152,15 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     return got.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), "judged")
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", mark: str = "[REDACTED]") -> DataFrame:
     """docs with each live-looking secret of the texts replaced by mark; all rows stay, and n_chars follows where there is one.
 
     Texts don't move: the live-looking secrets' hashes are gathered and looked up in a second pass. Up to LIVE_ROWS
     of them are broadcast; beyond, rows that have candidates are joined with their verdicts.
     """
     spark = docs.sparkSession
-    scanned = written(scan(docs, owner, repository), "secrets")
-    own = ownership(scanned).filter((F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES))
+    scanned = written(scan(docs, owner), "secrets")
+    own = ownership(scanned).filter(~is_example())
     random = scanned.select(F.explode("found").alias("x")).filter("x.random").select("x.secret").distinct()
     live = written(own.join(random, "secret").select("secret"), "secrets-live")
     fields, names = docs.schema, docs.columns

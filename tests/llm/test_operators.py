@@ -339,3 +339,18 @@ def test_private_keys_are_whole(spark):
     rows = [(i, f"{said(9, i)} {pem_of(i)[0]} end", f"o{i}") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {i: f"{said(9, i)} [REDACTED] end" for i in range(6)}
+
+
+def test_verdicts_do_not_turn_with_the_number_of_rows(spark):
+    key = "password=Xq7{}Zr29Lm4Kp"
+    rows = [(i, f"{said(30, i)} {key.format('one')}", "a") for i in range(60)]  # one source, many texts
+    rows += [(100 + i, f"{said(30, 100 + i)} {key.format('two')}", "ab"[i]) for i in range(2)]  # two sources
+    rows += [(200 + i, f"{said(60, 7)} {key.format('copied')}", f"o{i % 5}") for i in range(30)]  # one text, five sources
+    rows += [(300 + i, f"{said(30, 300 + i)} {key.format('shown')}", f"o{i}") for i in range(3)]  # three sources, three texts
+    rows += [(400, "password=aaaaaaaaaaaaaaa", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: (r["judged"][0]["verdict"], r["judged"][0]["texts"]) for r in secrets.find_secrets(df).collect()}
+    want = {d: (("example", 3) if d in (300, 301, 302) else ("unclear", None) if d == 400 else ("live", 1 if 200 <= d < 300 else None)) for d, _, _ in rows}
+    assert got == want
+    left = {r["doc_id"] for r in secrets.redact(df).collect() if "[REDACTED]" not in r["text"]}
+    assert left == {300, 301, 302, 400}
