@@ -101,7 +101,7 @@ def bands(signature: np.ndarray, n: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row a document: row (its place in the scan), uid (unique, in a random order), doc_id, key of its words, weight, its bands and its set."""
     ship(docs.sparkSession)
     schema = f"uid long, row long, doc_id {dict(docs.dtypes)['doc_id']}, key binary, weight long, bands array<long>, elements binary"
@@ -129,7 +129,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 uid = mix(some.column(0).to_numpy().view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(uid), some.column(0), some.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], arrow.field("bands").type), pa.array(out[3], pa.binary())], schema=arrow)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def checked(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -199,12 +200,12 @@ def prefix_pairs(nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
     return got.select(F.least("uid", "uid2").alias("a"), F.greatest("uid", "uid2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least id of its class), row (monotonically_increasing_id() of docs) and first (whether it is the one of its class to keep)."""
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, class_id (the least id of its class), row (the column row of docs, or monotonically_increasing_id()) and first (whether it is the one of its class to keep)."""
     spark = docs.sparkSession
     base = shared_path(spark, "near")
     put = lambda df, name: written(df, name, f"{base}/{name}")
-    rows = put(signatures(docs), "signatures")
+    rows = put(signatures(docs, row), "signatures")
     nodes = rows.groupBy("key").agg(F.min("uid").alias("node"))
     # one row a distinct text, with what banding and checking need
     one = rows.groupBy("key").agg(F.min("uid").alias("uid")).select("uid")
@@ -246,11 +247,12 @@ BROADCAST_ROWS = 4_000_000
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each class: of its least id. docs must number its rows alike each time, as a scan does."""
-    drop = written(near_duplicates(docs).filter("NOT first").select(F.col("row").alias("__row")), "near-drop")
+    """docs, all columns, with one document of each class: of its least id. docs are written once with their row numbers, which both passes read."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    drop = written(near_duplicates(rows, "__row").filter("NOT first").select(F.col("row").alias("__row")), "near-drop")
     if drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(drop, "__row", "left_anti").select(*docs.columns)
+    return rows.join(drop, "__row", "left_anti").select(*docs.columns)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[REDACTED]") ->
     """docs with each live-looking secret of the texts replaced by mark; all rows stay, and n_chars follows where there is one.
 
     Texts don't move: the live-looking secrets' hashes are gathered and looked up in a second pass. Up to LIVE_ROWS
-    of them are broadcast; beyond, rows that have candidates are joined with their verdicts.
+    of them are broadcast; beyond, rows are joined with the live-looking secrets of their texts by the texts' digests.
     """
     spark = docs.sparkSession
     scanned = written(scan(docs, owner), "secrets")
@@ -185,9 +185,9 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[REDACTED]") ->
     if live.limit(LIVE_ROWS + 1).count() <= LIVE_ROWS:
         known = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in live.collect()))
         return map_columns(docs, lambda c: filled(c, [known.value] * len(c["text"])), fields)
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())  # the same scan as scan()'s: the same numbers
-    per = scanned.select("uid", F.explode("found.secret").alias("secret")).join(live, "secret").groupBy("uid").agg(F.collect_set("secret").alias("__live"))
-    rows = rows.join(per, F.col("__uid") == F.col("uid"), "left").drop("uid", "__uid")
+    per = scanned.filter("text IS NOT NULL").select(F.sha2("text", 256).alias("__of"), F.explode("found.secret").alias("secret"))
+    per = per.join(live, "secret").groupBy("__of").agg(F.collect_set("secret").alias("__live"))
+    rows = docs.withColumn("__of", F.sha2("text", 256)).join(per, "__of", "left").drop("__of")  # by what the text is: rows may be numbered otherwise now
     return map_columns(rows, lambda c: filled(c, [frozenset(x or ()) for x in c["__live"]]), fields)
 
 

@@ -354,3 +354,21 @@ def test_verdicts_do_not_turn_with_the_number_of_rows(spark):
     assert got == want
     left = {r["doc_id"] for r in secrets.redact(df).collect() if "[REDACTED]" not in r["text"]}
     assert left == {300, 301, 302, 400}
+
+
+def test_rows_may_be_numbered_otherwise_in_a_later_scan(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{said(60, i % 7)} password=Xq7{i % 7}Zr29Lm4Kp", "a") for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(secrets, "LIVE_ROWS", 2)
+    bound, default = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for f in (near_dup.drop_near_duplicates, secrets.redact):
+        try:
+            out = f(spark.read.parquet(str(tmp_path / "docs")))
+            spark.conf.set(bound, "8k")  # the scan that is planned next has other splits: each file is one
+            got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+        finally:
+            spark.conf.set(bound, default)
+        if f is secrets.redact:
+            assert got == [(i, f"{said(60, i % 7)} [REDACTED]") for i in range(16)]
+        else:
+            assert got == [(r[0], r[1]) for r in rows[:7]]
