@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,13 +30,15 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where no checkpoint folder is set at all (tests on one machine) a local one is made and set.
+    Only where no checkpoint folder is set at all and all runs on one machine (tests), a local one is made and set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestone-")
         sc.setCheckpointDir(root)
     return root
@@ -62,9 +65,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(conf).delete(hp, True)
 
 
+#: Bytes and rows of an Arrow batch on its way to a Python worker (the row that goes over the bytes is still in it).
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+_BYTES_KEY, _ROWS_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT = ("67108864b", "10000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once a context."""
+    """Make this package importable in the executors' Python workers, once a context, and bound their batches, if the session doesn't."""
     sc = spark.sparkContext
+    if spark.conf.get(_BYTES_KEY) == _DEFAULT[0]:
+        spark.conf.set(_BYTES_KEY, f"{BATCH_BYTES}b")
+    if spark.conf.get(_ROWS_KEY) == _DEFAULT[1]:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     if getattr(sc, "_lodestone_shipped", False):
         return
     top = Path(__file__).resolve().parent
