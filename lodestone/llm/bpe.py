@@ -22,14 +22,14 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import map_columns, span_hashes, table, unit_bounds
+from lodestone.llm.common import distinct_spans, map_columns, table, unit_bounds
 
 #: Pieces of more symbols than this have a tree of their own.
 LONG = 256
 #: Characters of text worked on at a time.
-BYTES = 4_000_000
-#: Entries of a worker's memory of encoded units; it is emptied when full, which changes no result.
-MEMORY = 1_500_000
+BYTES = 2_000_000
+#: Entries of a worker's memory of encoded units (about 150 bytes each); it is emptied when full, which changes no result.
+MEMORY = 600_000
 _NONE = np.int64(1) << 62
 
 _SIMPLE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")
@@ -220,8 +220,8 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        """No unit is known: row[hash of a unit] would give its ids, flat[at[row]:][:many[row]]."""
-        self.row: dict[int, int] = {}
+        """No unit is known: row[a unit's bytes] would give its ids, flat[at[row]:][:many[row]]."""
+        self.row: dict[bytes, int] = {}
         self.flat, self.at, self.many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -230,12 +230,12 @@ class WordBpe:
         sym[np.cumsum(count) - 1] = self.last[data[np.cumsum(count) - 1]]
         return merge_flat(sym, count, self.merges)
 
-    def _learn(self, hashes: list[int], units: list[str]) -> None:
-        split = [_PIECE.findall(u) for u in units]
+    def _learn(self, units: list[bytes]) -> None:
+        split = [_PIECE.findall(u.decode()) for u in units]
         ids, many = self._merged([p.encode() for ps in split for p in ps])
         of = np.repeat(np.arange(len(units)), [len(ps) for ps in split])
         many = np.bincount(of, many, len(units)).astype(np.int64)
-        self.row.update(zip(hashes, range(len(self.at), len(self.at) + len(units)), strict=True))
+        self.row.update(zip(units, range(len(self.at), len(self.at) + len(units)), strict=True))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(many) - many])
         self.many, self.flat = np.concatenate([self.many, many]), np.concatenate([self.flat, ids.astype(np.uint32)])
 
@@ -259,15 +259,14 @@ class WordBpe:
         data = b"\n".join(parts)
         b = np.frombuffer(data, np.uint8)
         start, end = unit_bounds(b)
-        h = span_hashes(b, start, end)
-        some, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.row) + len(some) > MEMORY:
+        first, inverse = distinct_spans(b, start, end)
+        keys = [data[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if len(self.row) + len(keys) > MEMORY:
             self._forget()
-        keys = some.tolist()
         row = np.array([self.row.get(k, -1) for k in keys], np.int64)
         if len(new := np.flatnonzero(row < 0)):
             row[new] = len(self.at) + np.arange(len(new))
-            self._learn([keys[i] for i in new.tolist()], [data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            self._learn([keys[i] for i in new.tolist()])
         row = row[inverse]
         many = self.many[row]
         ids = self.flat[spread(self.at[row], many)]

@@ -7,14 +7,19 @@ order of the documents' ids, in files that each have a Merkle manifest of their
 
 Layout below one folder, all Parquet:
   chunks/   digest, data (ids as little-endian unsigned 16- or 32-bit integers), ordered by digest in each file
-  recipes/  row kind 0: a document's recipe with the ids before it in its file; row kind 1: the file's manifest
+  recipes/  row kind 0: a document's recipe with the ids before it in its file; row kind 1: the file's manifest; each
+            with the bytes of an id (width)
 
 What moves: each task drops the chunks that it has seen, then chunks are dealt by digest once; recipes, a few hundredths
 of that, are dealt by range of id once. Reading back moves only digests, lengths and checksums: checksums of chunks
 are combined to those of documents by polynomial arithmetic. No group is gathered in one task.
 
+Reading verifies: each chunk's bytes by its digest, each recipe's digests by its root, each file's roots, in order and
+all there, by its manifest.
+
 Defined results: null text is the empty text, whose stream is the end id alone; rows with equal or null ids are all
-kept, nulls first, equal ids in the order of their Merkle roots; an empty table gives an empty store.
+kept, nulls first, equal ids in the order of their Merkle roots; repeated rows share all their chunks; texts of any
+length are encoded whole; an empty table gives an empty store. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import byte_letters, spread, tokenizer_path
-from lodestone.llm.common import map_columns, mix, span_hashes, table, unit_bounds
+from lodestone.llm.common import distinct_spans, map_columns, mix, table, unit_bounds
 from lodestone.session import shared_path, ship
 
 #: A cut follows where these bits of the rolling hash are 0: one in 512. No chunk but a document's last is shorter than LEAST; none is longer than MOST.
 BITS, LEAST, MOST, WINDOW = 9, 128, 4096, 16
 #: Characters of text encoded at a time, and units of text remembered by a worker (emptied when full).
-BYTES, MEMORY = 4_000_000, 1_200_000
+BYTES, MEMORY = 2_000_000, 600_000
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _ODD = re.compile("[^\x20-\x7e\xa1-ɏ]")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
@@ -79,6 +84,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Roots:
+    """A Merkle root over leaves that come one at a time; as merkle(), a level's odd last one moves up."""
+
+    def __init__(self) -> None:
+        self.done: list[tuple[int, bytes]] = []  # heights and roots of the subtrees that are complete
+
+    def add(self, leaf: bytes) -> None:
+        self.done.append((0, leaf))
+        while len(self.done) > 1 and self.done[-1][0] == self.done[-2][0]:
+            (h, b), (_, a) = self.done.pop(), self.done.pop()
+            self.done.append((h + 1, hashlib.sha256(a + b).digest()[:16]))
+
+    def root(self) -> bytes | None:
+        """None without leaves."""
+        if not self.done:
+            return None
+        root = self.done[-1][1]
+        for _, left in self.done[-2::-1]:
+            root = hashlib.sha256(left + root).digest()[:16]
+        return root
+
+
 class Encoder:
     """The library's encoding of whole texts, through a memory of units.
 
@@ -96,7 +123,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[bytes, int] = {}
         self.flat, self.at, self.many = self.newline.copy(), np.zeros(1, np.int64), np.array([len(self.newline)])
 
     @staticmethod
@@ -125,15 +152,13 @@ class Encoder:
         start, end = unit_bounds(b)
         before = b[np.maximum(start - 1, 0)]
         blank, line = (before == 32) & (start > 0), (before == 10) & (start > 0)
-        h = span_hashes(b, start, end) ^ blank.astype(np.uint64)
-        some, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.row) + len(some) > MEMORY:
+        first, inverse = distinct_spans(b, start - blank, end)  # a blank before it is part of a unit
+        keys = [data[x:y] for x, y in zip((start - blank)[first].tolist(), end[first].tolist(), strict=True)]
+        if len(self.row) + len(keys) > MEMORY:
             self._forget()
-        keys = some.tolist()
         row = np.array([self.row.get(k, -1) for k in keys], np.int64)
         if len(new := np.flatnonzero(row < 0)):
-            at = first[new]
-            units = [data[x - p : y].decode("utf-8", "surrogatepass") for x, y, p in zip(start[at].tolist(), end[at].tolist(), blank[at].tolist(), strict=True)]
+            units = [keys[i].decode("utf-8", "surrogatepass") for i in new.tolist()]
             got = self._encode_units(units)
             many = np.array([len(x) for x in got], np.int64)
             row[new] = len(self.at) + np.arange(len(new))
@@ -177,7 +202,7 @@ def loaded(path: str) -> Encoder:
     return _LOADED[path]
 
 
-_STAGED = "key binary, data binary, doc_id {kind}, n_tokens long, digests binary, lengths array<int>, root binary"
+_STAGED = "key binary, data binary, doc_id {kind}, n_tokens long, digests binary, lengths array<int>, root binary, width int"
 
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -205,11 +230,11 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                         digests.append(d := hashlib.sha256(x).digest()[:16])
                         if d not in seen:
                             seen.add(d)
-                            out.append((d, x, None, None, None, None, None))
+                            out.append((d, x, None, None, None, None, None, size))
                         last = e
                     row += 1
                     uid = hashlib.sha256(b"%d:%d" % (pack, row)).digest()[:16]
-                    out.append((uid, None, doc, len(ids), b"".join(digests), np.diff([0, *ends]).tolist(), merkle(digests)))
+                    out.append((uid, None, doc, len(ids), b"".join(digests), np.diff([0, *ends]).tolist(), merkle(digests), size))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -232,14 +257,14 @@ def _once(df: DataFrame) -> DataFrame:
 def _ordered(recipes: DataFrame) -> DataFrame:
     """Recipes in ascending order of id, each with the ids before it in its file, and each file's manifest at its end."""
     kind = dict(recipes.dtypes)["doc_id"]
-    schema = f"kind int, file int, doc_id {kind}, uid binary, local_start long, n_tokens long, digests binary, lengths array<int>, root binary"
+    schema = f"kind int, file int, doc_id {kind}, uid binary, local_start long, n_tokens long, digests binary, lengths array<int>, root binary, width int"
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, before, done = TaskContext.get().partitionId(), 0, []  # done: (height, root) of the subtrees that are complete
+        file, before, top, width = TaskContext.get().partitionId(), 0, Roots(), None
 
         def made(rows: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in arrow], schema=arrow)
@@ -248,18 +273,13 @@ def _ordered(recipes: DataFrame) -> DataFrame:
             r = batch.to_pydict()
             upto = before + np.cumsum(r["n_tokens"], dtype=np.int64)
             for root in r["root"]:
-                done.append((0, root))
-                while len(done) > 1 and done[-1][0] == done[-2][0]:
-                    (h, b), (_, a) = done.pop(), done.pop()
-                    done.append((h + 1, hashlib.sha256(a + b).digest()[:16]))
+                top.add(root)
             n = batch.num_rows
             yield made(r | {"kind": [0] * n, "file": [file] * n, "uid": r["key"], "local_start": [before, *upto.tolist()[:-1]]} if n else {f.name: [] for f in arrow})
             before = int(upto[-1]) if n else before
-        if done:
-            root = done.pop()[1]
-            while done:
-                root = hashlib.sha256(done.pop()[1] + root).digest()[:16]
-            yield made({f.name: [None] for f in arrow} | {"kind": [1], "file": [file], "n_tokens": [before], "root": [root]})
+            width = r["width"][0] if n else width
+        if (root := top.root()) is not None:
+            yield made({f.name: [None] for f in arrow} | {"kind": [1], "file": [file], "n_tokens": [before], "root": [root], "width": [width]})
 
     return recipes.sortWithinPartitions(F.asc_nulls_first("doc_id"), "root", "key").mapInArrow(run, schema)
 
@@ -270,7 +290,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = _encoded(docs, vocabulary, end_id)
     _once(staged.repartition(n, "key").sortWithinPartitions("key")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = spark.read.schema(staged.schema).parquet(f"{path}/chunks").filter("root IS NOT NULL").select("key", "doc_id", "n_tokens", "digests", "lengths", "root")
+    recipes = spark.read.schema(staged.schema).parquet(f"{path}/chunks").filter("root IS NOT NULL").select("key", "doc_id", "n_tokens", "digests", "lengths", "root", "width")
     _ordered(recipes.repartitionByRange(n, F.asc_nulls_first("doc_id"))).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/recipes")
 
 
@@ -300,16 +320,43 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """digest, n, crc32 of the ids as unsigned 32-bit integers, and whether the stored bytes have that digest."""
 
     def run(c: dict) -> dict:
-        big = [np.frombuffer(x, "<u2").astype("<u4") for x in c["data"]]
+        big = [np.frombuffer(x, f"<u{w}", len(x) // w).astype("<u4") for x, w in zip(c["data"], c["width"], strict=True)]
         return {"digest": c["key"], "n": [len(x) for x in big], "crc": [zlib.crc32(x.tobytes()) for x in big], "sound": [hashlib.sha256(x).digest()[:16] == k for k, x in zip(c["key"], c["data"], strict=True)]}
 
-    return map_columns(spark.read.parquet(f"{path}/chunks").filter("data IS NOT NULL").select("key", "data"), run, "digest binary, n long, crc long, sound boolean")
+    return map_columns(spark.read.parquet(f"{path}/chunks").filter("data IS NOT NULL").select("key", "data", "width"), run, "digest binary, n long, crc long, sound boolean")
+
+
+def checked_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, whole: whether the recipes that are there, in order, have the root and the number of ids of the file's manifest."""
+    schema = pa.schema([("file", pa.int32()), ("got", pa.binary()), ("ids", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, top, ids = None, Roots(), 0
+        ended = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([top.root()], pa.binary()), pa.array([ids], pa.int64())], schema=schema)
+        for batch in batches:
+            for file, root, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if file != now:
+                    if now is not None:
+                        yield ended()
+                    now, top, ids = file, Roots(), 0
+                top.add(root)
+                ids += n
+        if now is not None:
+            yield ended()
+
+    rows = spark.read.parquet(f"{path}/recipes")
+    ship(spark)
+    # a file's recipes meet in one task, as they did in the one that wrote it
+    got = rows.filter("kind = 0").select("file", "root", "n_tokens", "local_start").repartition("file").sortWithinPartitions("file", "local_start").select("file", "root", "n_tokens").mapInArrow(run, "file int, got binary, ids long")
+    said = rows.filter("kind = 1").select("file", "root", "n_tokens")
+    return said.join(got, "file", "left").select("file", F.coalesce((F.col("root") == F.col("got")) & (F.col("n_tokens") == F.col("ids")), F.lit(False)).alias("whole"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32, n_chunks, verified.
 
-    verified: every chunk's stored bytes have its digest and length, and the recipe's digests its Merkle root.
+    verified: every chunk's stored bytes have its digest and length, the recipe's digests its Merkle root, and the file's
+    recipes that of its manifest. A chunk that is gone leaves its documents unverified, without a checksum.
     """
     rows = spark.read.parquet(f"{path}/recipes")
     kind = dict(rows.dtypes)["doc_id"]
@@ -318,10 +365,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     for f in files:
         bases.append((f["file"], before))
         before += f["n_tokens"]
-    base = spark.createDataFrame(bases, "file int, base long")
+    base = spark.createDataFrame(bases, "file int, base long").join(checked_files(spark, path), "file")  # one row a file
 
     def parts(c: dict) -> dict:
-        out: dict = {k: [] for k in ("uid", "doc_id", "start", "digest", "length", "after", "whole")}
+        out: dict = {k: [] for k in ("uid", "doc_id", "start", "digest", "length", "after", "good")}
         for i, (d, ls) in enumerate(zip(c["digests"], c["lengths"], strict=True)):
             k, after = len(ls), np.cumsum(ls[::-1], dtype=np.int64)[::-1] - ls
             ds = [d[j : j + 16] for j in range(0, len(d), 16)]
@@ -331,20 +378,22 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             out["digest"] += ds
             out["length"] += ls
             out["after"] += (4 * after).tolist()
-            out["whole"] += [merkle(ds) == c["root"][i]] * k
+            out["good"] += [c["whole"][i] and merkle(ds) == c["root"][i]] * k
         return out
 
-    recipes = rows.filter("kind = 0").join(F.broadcast(base), "file").select("uid", "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "digests", "lengths", "root")
-    pieces = map_columns(recipes, parts, f"uid binary, doc_id {kind}, start long, digest binary, length long, after long, whole boolean")
+    recipes = rows.filter("kind = 0").join(F.broadcast(base), "file").select("uid", "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "digests", "lengths", "root", "whole")
+    pieces = map_columns(recipes, parts, f"uid binary, doc_id {kind}, start long, digest binary, length long, after long, good boolean")
 
     def moved(c: dict) -> dict:
-        return c | {"part": crc_moved(np.array(c["crc"], np.int64).astype(np.uint32), np.array(c["after"], np.int64)).astype(np.int64).tolist()}
+        crc = np.array([x or 0 for x in c["crc"]], np.int64).astype(np.uint32)
+        return c | {"part": crc_moved(crc, np.array(c["after"], np.int64)).astype(np.int64).tolist()}
 
-    joined = pieces.join(read_chunks(spark, path), "digest").select("uid", "doc_id", "start", "length", "after", "crc", (F.col("whole") & F.col("sound") & (F.col("n") == F.col("length"))).alias("good"))
+    sound = F.col("good") & F.col("sound") & (F.col("n") == F.col("length"))
+    joined = pieces.join(read_chunks(spark, path), "digest", "left").select("uid", "doc_id", "start", "length", "after", "crc", F.coalesce(sound, F.lit(False)).alias("good"))
     joined = map_columns(joined, moved, f"uid binary, doc_id {kind}, start long, length long, after long, crc long, good boolean, part long", rows=8192)
     return (
         joined.groupBy("uid", "doc_id", "start")
-        .agg(F.sum("length").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"), F.count(F.lit(1)).alias("n_chunks"), F.bool_and("good").alias("verified"))
+        .agg(F.sum("length").alias("n_tokens"), F.when(F.count("crc") == F.count(F.lit(1)), F.bit_xor("part")).alias("ids_crc32"), F.count(F.lit(1)).alias("n_chunks"), F.bool_and("good").alias("verified"))
         .select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified")
     )
 
@@ -353,13 +402,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and the ids themselves, put together from the chunks."""
     rows = spark.read.parquet(f"{path}/recipes").filter("kind = 0")
     pieces = rows.select("uid", "doc_id", F.expr("transform(sequence(0, size(lengths) - 1), i -> struct(i AS i, substring(digests, 16 * i + 1, 16) AS digest))").alias("c")).select("uid", "doc_id", F.explode("c").alias("c")).select("uid", "doc_id", "c.*")
-    got = pieces.join(spark.read.parquet(f"{path}/chunks").filter("data IS NOT NULL").select(F.col("key").alias("digest"), "data"), "digest")
-    got = got.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "data"))).alias("parts"))
+    got = pieces.join(spark.read.parquet(f"{path}/chunks").filter("data IS NOT NULL").select(F.col("key").alias("digest"), "data", "width"), "digest")
+    got = got.groupBy("uid", "doc_id").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("i", "data"))).alias("parts"))
 
     def run(c: dict) -> dict:
-        return {"doc_id": c["doc_id"], "ids": [np.frombuffer(b"".join(x["data"] for x in p), "<u2").tolist() for p in c["parts"]]}
+        return {"doc_id": c["doc_id"], "ids": [np.frombuffer(b"".join(x["data"] for x in p), f"<u{w}").tolist() for p, w in zip(c["parts"], c["width"], strict=True)]}
 
-    return map_columns(got.select("doc_id", "parts"), run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return map_columns(got.select("doc_id", "parts", "width"), run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
 def op5_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:

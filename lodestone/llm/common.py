@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -56,9 +57,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POW = np.ones(1, np.uint64)
-_P, _PI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_INV = np.ones(1, np.uint64)
+_P = 0x9E3779B97F4A7C15
+#: Spans of more bytes than this are hashed one at a time, by a cryptographic hash.
+LONG_SPAN = 64
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,21 +72,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _powers(n: int) -> None:
-    global _POW, _INV
-    if len(_POW) < n:
-        m = max(n, 1 << 16)
-        one = np.ones(m, np.uint64)
-        one[1:] = np.uint64(_P)
-        inv = np.ones(m, np.uint64)
-        inv[1:] = np.uint64(_PI)
-        with np.errstate(over="ignore"):
-            _POW, _INV = np.multiply.accumulate(one), np.multiply.accumulate(inv)
-
-
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -97,13 +84,45 @@ def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def eight_bytes(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros stand behind the end."""
+    return np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; a hash depends on the span's bytes alone."""
-    _powers(len(b) + 1)
+    """64-bit hashes of byte spans; a hash depends on the span's bytes alone. Eight bytes at a time are mixed in, which is not linear."""
+    size, u = end - start, eight_bytes(b)
+    h = mix(size.astype(np.uint64) + np.uint64(_P))
+    long = np.flatnonzero(size > LONG_SPAN)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        part = u[start[live] + at] & _LOW[np.minimum(size[live] - at, 8)]
+        with np.errstate(over="ignore"):
+            h[live] = mix((h[live] ^ part) * np.uint64(_P))
+        at += 8
+        live = live[size[live] > at]
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(b[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def distinct_spans(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of byte spans: a first of each, and for each span which it is. Bytes are compared, hashes decide nothing."""
+    size, u = end - start, eight_bytes(b)
+    one = u[start] & _LOW[np.clip(size, 0, 8)]
+    two = np.where(size > 8, u[np.minimum(start + 8, len(b))] & _LOW[np.clip(size - 8, 0, 8)], np.uint64(0))
     with np.errstate(over="ignore"):
-        pre = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * _POW[: len(b)], out=pre[1:])
-        return mix((pre[end] - pre[start]) * _INV[start])
+        h = mix((one ^ mix(two + size.astype(np.uint64) * np.uint64(_P))) * np.uint64(_P)) >> np.uint64(1)
+    if len(long := np.flatnonzero(size > 16)):  # numbered by their bytes, beside all hashes
+        seen: dict[bytes, int] = {}
+        data = b.tobytes()
+        h[long] = np.array([seen.setdefault(data[x:y], len(seen)) for x, y in zip(start[long].tolist(), end[long].tolist(), strict=True)], np.uint64) | np.uint64(1 << 63)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[inverse]
+    if ((one != one[rep]) | (two != two[rep]) | (size != size[rep])).any():  # two short spans share a hash: never seen
+        key = np.column_stack([h, one, two, size.astype(np.uint64)])
+        _, first, inverse = np.unique(key, axis=0, return_index=True, return_inverse=True)
+    return first, inverse.reshape(-1)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

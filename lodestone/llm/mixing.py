@@ -11,9 +11,14 @@ draws. The bound is found in two steps, a count by ranges of draws and an order
 length that hold a third of all rows are split over the ranges. Tables by source, and by source and length, are joined;
 the latter is broadcast only up to BROADCAST_ROWS rows, and shuffled beyond.
 
+Sources are put in order by ranges, each a task, with the sums before each range added; only one row a range reaches
+the driver. So many sources are no one task's work.
+
 Defined results: null text has size 0; documents of size 0 are never short of their target and count as taken 0 times;
 the null source is a source, the last in order; an empty table gives an empty mix. Rows that repeat both id and text
-have one draw and are selected together or not at all, and those that would go over the count are left out.
+have one draw and are selected together or not at all, and those that would go over the count are left out. Texts of
+any length are counted whole. mix() packs docs' own columns away, so no name of theirs can clash with its own; the
+column it adds has a name of the caller's choice, and one of docs with that name is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
-from lodestone.session import ship, written
+from lodestone.session import shared_path, ship, written
 
 #: Ranges of draws in which the documents of one source and length are counted: two to this power.
 RANGE_BITS = 8
@@ -74,27 +79,53 @@ def fit_counts(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
     return taken
 
 
+def running(df: DataFrame, order: list, sums: dict, base: str) -> DataFrame:
+    """df with running sums (name: column) in a total order, each up to and with its row. Sorted by ranges, which are summed up apart."""
+    spread = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    spread = written(spread, "mix-ordered", base)
+    upto = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = {n: 0.0 for n in sums}
+    rows = []
+    for r in spread.groupBy("part").agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).orderBy("part").collect():  # one row a range
+        rows.append((r["part"], *before.values()))
+        before = {n: before[n] + r[n] for n in sums}
+    ahead = df.sparkSession.createDataFrame(rows, "part int, " + ", ".join(f"ahead_{n} double" for n in sums))
+    got = spread.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()]).join(F.broadcast(ahead), "part")
+    return got.select(*df.columns, *[(F.col(n) + F.col(f"ahead_{n}")).alias(n) for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Of (source, source_size), one row a source: its target. Sources by code point, null last, have the weights in turn.
 
     With sources in order of bound over weight, those before the first k at which the level
     (budget - bounds before) / (weights from k on) is within k's own bound stop at their bounds.
     """
-    i = W.orderBy(F.asc_nulls_last("source"))
-    s = sizes.withColumn("i", F.row_number().over(i) - 1)
+    base = shared_path(sizes.sparkSession, "mix-sources")
+    s = running(sizes.select("source", "source_size"), [F.asc_nulls_last("source")], {"i": F.lit(1)}, f"{base}/source")
+    s = s.withColumn("i", F.col("i").cast("long") - 1)
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("i") % len(weights) + 1).cast("int")))
     s = s.withColumn("bound", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("bound") / F.col("weight"))
-    order, all_ = W.orderBy("ratio", "i"), W.partitionBy()
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    budget = F.lit(share) * F.sum("source_size").over(all_)
-    s = s.withColumn("level", (budget - (F.sum("bound").over(upto) - F.col("bound"))) / (F.sum("weight").over(all_) - F.sum("weight").over(upto) + F.col("weight")))
-    s = s.withColumn("level", F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return s.select("source", "source_size", F.least("bound", F.coalesce(F.col("level") * F.col("weight"), F.col("bound"))).alias("target"))
+    s = running(s, [F.asc("ratio"), F.asc("i")], {"upto_bound": F.col("bound"), "upto_weight": F.col("weight")}, f"{base}/ratio")
+    s = written(s, "mix-running", f"{base}/running")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, weight = share * (whole["size"] or 0), whole["weight"] or 0.0
+    s = s.withColumn("level", (F.lit(float(budget)) - (F.col("upto_bound") - F.col("bound"))) / (F.lit(float(weight)) - F.col("upto_weight") + F.col("weight")))
+    first = s.filter("level <= ratio").agg(F.min(F.struct("ratio", "i", "level")).alias("x")).first()["x"]
+    level = F.lit(float(first["level"])) * F.col("weight") if first else F.col("bound")
+    return s.select("source", "source_size", F.least("bound", level).alias("target"))
+
+
+def size_of(text: str = "text"):
+    return F.coalesce(F.expr(rf"regexp_count(`{text}`, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
+
+
+def draw_of(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
 def with_size_and_draw(docs: DataFrame, seed: int) -> DataFrame:
-    size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
-    return docs.withColumns({"size": size, "draw": F.xxhash64(F.lit(seed), "doc_id", "text")})
+    """source, size and draw of each document, and docs' columns packed in one (row)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size_of().alias("size"), draw_of(seed).alias("draw"))
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -132,7 +163,7 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs (with size and draw) with source_size, target and copies: how often the mix takes each document."""
+    """docs (with source, size and draw) with source_size, target and copies: how often the mix takes each document."""
     plan = plan.withColumnsRenamed({"source": "plan_source", "size": "plan_size"})
     if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
@@ -141,8 +172,17 @@ def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return got.withColumn("copies", F.when(F.col("size") > 0, F.col("times") + extra).otherwise(F.lit(0)))
 
 
+def mix(docs: DataFrame, seed: int = 7, into: str = "mix") -> DataFrame:
+    """docs, all columns, and the column into: a struct of size, source_size, target and copies."""
+    sized = with_size_and_draw(docs, seed)
+    plan = written(mix_plan(written(sized.select("source", "size", "draw"), "mix-sizes")), "mix-plan")
+    got = mixed(sized, plan)
+    return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], F.struct("size", "source_size", "target", "copies").alias(into))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str, seed: int = 7) -> DataFrame:
     """How many words of each document the mix takes."""
-    sized = written(with_size_and_draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes")
+    docs = table(spark, sf_dir, "documents")
+    sized = written(docs.select("doc_id", "source", size_of().alias("size"), draw_of(seed).alias("draw")), "mix-sizes")
     plan = written(mix_plan(sized.select("source", "size", "draw")), "mix-plan")
     return mixed(sized, plan).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -12,7 +12,9 @@ hold is no hot group. Of texts, those that hold candidates are written beside th
 EXAMPLE_OWNERS owners are compared.
 
 Defined results: null or empty text has no spans; null owners count as one owner; repeated rows are one text and get
-the same spans each; only the columns named are looked at.
+the same spans each; spans that start at one place stand in the kinds' order; texts of any length are searched whole,
+one at a time; an empty table gives no rows. Only the columns named are looked at; redact() lets all others through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -185,10 +187,13 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[REDACTED]") ->
     if live.limit(LIVE_ROWS + 1).count() <= LIVE_ROWS:
         known = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in live.collect()))
         return map_columns(docs, lambda c: filled(c, [known.value] * len(c["text"])), fields)
-    per = scanned.filter("text IS NOT NULL").select(F.sha2("text", 256).alias("__of"), F.explode("found.secret").alias("secret"))
-    per = per.join(live, "secret").groupBy("__of").agg(F.collect_set("secret").alias("__live"))
-    rows = docs.withColumn("__of", F.sha2("text", 256)).join(per, "__of", "left").drop("__of")  # by what the text is: rows may be numbered otherwise now
-    return map_columns(rows, lambda c: filled(c, [frozenset(x or ()) for x in c["__live"]]), fields)
+    of, has = "__of", "__live"
+    while {of, has} & set(names):
+        of, has = of + "_", has + "_"
+    per = scanned.filter("text IS NOT NULL").select(F.sha2("text", 256).alias(of), F.explode("found.secret").alias("secret"))
+    per = per.join(live, "secret").groupBy(of).agg(F.collect_set("secret").alias(has))
+    rows = docs.withColumn(of, F.sha2("text", 256)).join(per, of, "left").drop(of)  # by what the text is: rows may be numbered otherwise now
+    return map_columns(rows, lambda c: filled(c, [frozenset(x or ()) for x in c[has]]), fields)
 
 
 #: Live-looking secrets (16 bytes each, about 100 in memory) up to which redact() broadcasts them.

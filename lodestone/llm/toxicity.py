@@ -6,12 +6,15 @@ learned: words and word beginnings with their log odds among labelled rows. Lexi
 folds, so trees see hits as they will be in unseen texts, and the isotonic map is fitted to out-of-fold predictions.
 
 Labels are used only of rows whose crc32(doc_id as text) mod 4 is not HELD_OUT, and of at most MAX_LABELLED of those
-(the lowest by a hash of their id); their texts are found by a broadcast of so many ids. The lexicon has at most
+(the lowest by a hash of their id, rows that repeat id and text being one); their texts are found by a broadcast of so
+many ids. The lexicon has at most
 MAX_TERMS entries. Scoring reads every whole text, without a shuffle; the model is a few hundred kB.
 
 Defined results: null text is the empty text, which gets a score like any other; ids that labels lists more than once
-count once, with the largest label; null labels don't count; with labels of one class alone (or none) every score is
-that class's share (0 where none); language, source and id are never looked at by a score; repeated rows score alike.
+count once, with the largest label; null labels and ids don't count; with labels of one class alone (or none) every score
+is that class's share (0 where none); language, source and id are never looked at by a score; repeated rows score alike;
+texts of any length are scored whole, one at a time; an empty table gives no rows. drop_toxic() lets all columns
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ HELD_OUT, FOLDS = 2, (0, 1, 3)
 #: Bounds of what is learned from: labelled rows, lexicon entries; the least toxic rows that an entry is in.
 MAX_LABELLED, MAX_TERMS, LEAST = 20_000, 4_000, 3
 THRESHOLD = 0.3
+#: Words that a worker remembers (about 150 bytes each); when full it forgets all, which changes no result.
+KNOWN = 200_000
 # Insults of four languages, second-person words, letters that figures and signs stand for.
 INSULTS = frozenset("idiot idiots moron moronic stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown imbecile cretin fool freak filth vermin idiota estúpido imbécil basura asqueroso escoria payaso inútil stupide débile ordure dégoûtant minable abruti crétin dummkopf trottel abschaum widerlich wertlos dreck versager".split())
 YOU = frozenset("you your yours yourself u ur tu te ti toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes vosotros tú".split())
@@ -59,13 +64,14 @@ class Lexicon:
     """Weights of terms; what a word counts for is remembered."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.known = weights, {}
+        self.weights = weights
+        self.known: dict[str, int] = {}
         self.table = [(0.0, 0, 0, 0, 0)]
         self.array = np.zeros((1, 5))
         self.rows: dict[tuple, int] = {self.table[0]: 0}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > 400_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         for w in words:
             p = plain(w)
@@ -85,7 +91,7 @@ class Lexicon:
         known = self.known
         new = {w for w in set(words) if w not in known}  # a set less a dict's keys would go over all keys
         if new:
-            self.learn(new | (set(words) if len(self.known) > 400_000 else set()))
+            self.learn(new | (set(words) if len(self.known) > KNOWN else set()))
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         got = self.array[ids[ids > 0]]
         upper = 0
@@ -202,10 +208,14 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic, fold of at most MAX_LABELLED labelled rows that aren't held out."""
+    """text, toxic, fold of at most MAX_LABELLED labelled rows that aren't held out: the first by their ids' and texts' hashes. Rows that repeat both are one."""
     ids = labels.filter("toxic IS NOT NULL").withColumn("fold", crc_mod("doc_id", 4)).filter(f"fold <> {HELD_OUT}")
     ids = ids.groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold")), "toxic-labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", F.xxhash64("text").alias("of"), "text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
+    # distinct texts of an id, with one row of each, before anything is ordered: repeated rows teach nothing more
+    once = rows.groupBy("place", "doc_id", "of").agg(F.min("row").alias("row")).orderBy("place", "doc_id", "of").limit(MAX_LABELLED)
+    return written(rows.join(F.broadcast(once.select("row")), "row", "left_semi").select("text", "toxic", "fold"), "toxic-labelled")
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:

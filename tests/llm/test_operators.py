@@ -243,15 +243,14 @@ def test_mixing(spark, docs, empty):
     assert mixing.fit_counts(10**6, [2], [3]) == [3] and mixing.fit_counts(3, [2, 4], [5, 5]) == [1, 0]
     rows = [(i, said(random.Random(i).randrange(1, 60), i), "en", "abc"[min(2, i % 5)] if i % 7 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    sized = mixing.with_size_and_draw(df, 7)
-    plan = mixing.mix_plan(sized.select("source", "size", "draw"))
-    got = mixing.mixed(sized, plan).select("doc_id", "source", "size", "target", "source_size", "copies").toPandas()
+    got = mixing.mix(df).select("doc_id", "source", "mix.*").toPandas()
     assert len(got) == 400 and got.copies.max() <= 2
     by = got.assign(taken=got.copies * got["size"]).groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), whole=("source_size", "first"))
     assert (by["size"] == by.whole).all() and (abs(by.taken - by.target) <= 1).all() and by.target.sum() == pytest.approx(1.5 * by["size"].sum())
     for d, n in ((docs, len(ROWS)), (empty, 0)):
-        s = mixing.with_size_and_draw(d.select("doc_id", "source", "text"), 7)
-        assert mixing.mixed(s, mixing.mix_plan(s.select("source", "size", "draw"))).count() == n
+        clash = d.withColumns({c: F.lit("mine") for c in ("size", "draw", "target", "last", "times", "source_size", "copies", "row")})
+        out = mixing.mix(clash)
+        assert out.columns == [*clash.columns, "mix"] and out.filter("size = 'mine' AND last = 'mine' AND row = 'mine'").count() == n
 
 
 def test_licenses(docs, empty):
