@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import bpe_encode
-from lodestone.llm.mixing import mix_plan, mixed, with_size_and_draw
+from lodestone.llm.mixing import mix
 from lodestone.llm.near_dup import drop_near_duplicates
 from lodestone.llm.secrets import redact
 from lodestone.llm.toxicity import drop_toxic
@@ -35,10 +35,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    sized = with_size_and_draw(docs, 7)
-    plan = written(mix_plan(written(sized.select("source", "size", "draw"), "mix-sizes")), "mix-plan")
-    got = mixed(sized.select(*[F.col(c) for c in docs.columns], "size", "draw"), plan)
-    return got.filter("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    into = "mix"
+    while into in docs.columns:
+        into += "_"
+    got = mix(docs, 7, into)
+    often = F.explode(F.sequence(F.lit(1), F.col(into).copies.cast("int"))).alias(into)
+    return got.filter(F.col(into).copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns], often).drop(into)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
