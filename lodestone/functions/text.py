@@ -18,12 +18,22 @@ def tokens(text: Column) -> Column:
 
 def code_tokens(text: Column) -> Column:
     """Four copies of a text joined by blanks: as is, snake case split, also camel case split, also letters from figures; lower case."""
-    snake = F.regexp_replace(text, "_", " ")
-    camel = F.regexp_replace(F.regexp_replace(snake, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.regexp_replace(F.regexp_replace(camel, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
+    snake = F.regexp_replace(text, "_+", " ")
+    camel = F.regexp_replace(snake, "([a-z0-9])([A-Z])", "$1 $2")
+    parts = F.regexp_replace(camel, "([a-zA-Z])([0-9])", "$1 $2")
     return F.lower(F.concat_ws(" ", text, snake, camel, parts))
 
 
+#: What the splits of code_tokens() change; a text without it gives four equal copies.
+SPLIT = "_|[a-z0-9][A-Z]|[a-zA-Z][0-9]"
+
+
+def code_terms(text: Column) -> tuple[Column, Column]:
+    """The tokens of code_tokens(text), and how often each of them counts: of a text that no split changes one copy is enough."""
+    split = F.coalesce(text, F.lit("")).rlike(SPLIT)
+    return tokens(F.when(split, code_tokens(text)).otherwise(text)), F.when(split, 1).otherwise(4)
+
+
 def chunk_id(path: Column, name: Column, row: Column) -> Column:
     """Sixteen hex digits of the sha256 of path::name::row."""
     return F.substring(F.sha2(F.concat_ws("::", path, name, row.cast("string")), 256), 1, 16)

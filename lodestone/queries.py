@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone import sample_sources as sample
+from lodestone.functions import semantic
 from lodestone.functions import text as T
-from lodestone.operators import graph, indexing, search
+from lodestone.memory import CATEGORIES
+from lodestone.operators import chunks, graph, imports, indexing, search
+from lodestone.session import written
 from lodestone.streaming.debounce import debounce
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,10 +45,21 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{0}}, '')), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'), lambda x: x NOT IN ({_STOP}))"
 
 
-def _tok(col: str) -> str:
+def _words(col: str) -> str:
     return _TOKENS.format(col)
 
 
+def _copies(col: str) -> str:
+    """The four copies of code_tokens()."""
+    snake = f"regexp_replace({col}, '_+', ' ', 'g')"
+    camel = f"regexp_replace({snake}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+    return f"concat_ws(' ', {col}, {snake}, {camel}, regexp_replace({camel}, '([a-zA-Z])([0-9])', '\\1 \\2', 'g'))"
+
+
+def _tok(col: str) -> str:
+    return _TOKENS.format(_copies(col))
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE source = 'src3' AND lang IN ('en', 'fr')")
 def scan_filter_project_lang(spark, sf):
     return t(spark, sf, "documents").filter((F.col("source") == "src3") & F.col("lang").isin("en", "fr")).select("doc_id", "n_chars")
@@ -55,21 +70,19 @@ def chunk_id_hash(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.chunk_id(_path(), F.lit("__module__"), F.lit(0)).alias("id"))
 
 
-@query("""WITH a AS (SELECT page_id, url AS raw, replace(url, '_', ' ') AS snake FROM pages),
-b AS (SELECT *, regexp_replace(regexp_replace(snake, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g') AS camel FROM a)
-SELECT page_id, lower(concat_ws(' ', raw, snake, camel, regexp_replace(regexp_replace(camel, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'))) AS tokens FROM b""")
+@query(f"SELECT page_id, lower({_copies('url')}) AS tokens FROM pages")
 def code_tokenize(spark, sf):
     return t(spark, sf, "pages").select("page_id", T.code_tokens(F.col("url")).alias("tokens"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY term")
 def token_df(spark, sf):
-    return search.postings(t(spark, sf, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return search.postings(t(spark, sf, "documents")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(len({_tok('text')})), 6) AS avgdl FROM documents")
 def bm25_stats(spark, sf):
-    return search.bm25_stats(t(spark, sf, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return search.bm25_stats(search.postings(t(spark, sf, "documents"))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _bm25_sql(docs: str, k: int) -> str:
@@ -95,10 +108,13 @@ def bm25_topk_project(spark, sf):
     return search.bm25(t(spark, sf, "documents").filter("source = 'src3'"), _asked(spark, sf), 20).select("qid", "id", "score", "rank")
 
 
-def _dense_sql(where: str, k: int) -> str:
+_BENCH = "q.vec_id IN (SELECT item_id FROM benchmark)"
+
+
+def _dense_sql(where: str, k: int, asked: str = "q.vec_id % 20 = 0") -> str:
     dot = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
     return f"""dn AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({dot} / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS score,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {where} QUALIFY rank <= {k})"""
+row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE {asked} AND {where} QUALIFY rank <= {k})"""
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -126,11 +142,17 @@ SELECT qid, id, {wa} / (60 + rank) AS part, 0 AS l, rank FROM {a} UNION ALL SELE
 rr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, spot, id) AS rank FROM fu QUALIFY rank <= {k})"""
 
 
-_HYBRID = f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50)}, {_rrf_sql('dn', 1.0, 'bm', 0.5, 10)}"
+_HYBRID = f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50, _BENCH)}, {_rrf_sql('dn', 1.0, 'bm', 0.5, 10)}"
+
+
+def _bench_vectors(spark, sf) -> DataFrame:
+    """The vectors of the benchmark's ids: both lists of a hybrid query answer the same queries."""
+    items = t(spark, sf, "benchmark").select(F.col("item_id").alias("id")).distinct()
+    return _vectors(spark, sf).join(items, "id", "left_semi").select(F.col("id").alias("qid"), "v")
 
 
 def _lists(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return search.dense(_vectors(spark, sf), _asked_vectors(spark, sf), 50), search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50)
+    return search.dense(_vectors(spark, sf), _bench_vectors(spark, sf), 50), search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50)
 
 
 @query(f"{_HYBRID} SELECT r.qid, r.id, r.score, r.rank, d.source, d.lang FROM rr r LEFT JOIN documents d ON d.doc_id = r.id")
@@ -141,24 +163,29 @@ def hybrid_query(spark, sf):
     return got.join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang"), "id", "left").select("qid", "id", "score", "rank", "source", "lang")
 
 
-@query(f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50)}, {_rrf_sql('dn', 1.0, 'bm', 1.0, 1000000)} SELECT qid, id, score, rank FROM rr")
+@query(f"WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50, _BENCH)}, {_rrf_sql('dn', 1.0, 'bm', 1.0, 1000000)} SELECT qid, id, score, rank FROM rr")
 def rrf_fuse(spark, sf):
     dense, sparse = _lists(spark, sf)
     return search.rrf([(dense, 1.0), (sparse, 1.0)]).select("qid", "id", "score", "rank")
 
 
-_WANTED = "w AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+@query(f"{_HYBRID} SELECT qid, id, score, rank FROM rr")
+def rrf_weighted_topk(spark, sf):
+    dense, sparse = _lists(spark, sf)
+    return search.rrf([(dense, 1.0), (sparse, 0.5)], 10).select("qid", "id", "score", "rank")
+
+
+_WANTED = "w AS (SELECT DISTINCT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 @query(f"WITH {_bm25_sql('documents', 50)}, {_WANTED}, e AS (SELECT w.qid, min(bm.rank) AS r FROM w LEFT JOIN bm ON bm.qid = w.qid AND bm.id = w.id GROUP BY w.qid) SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN r <= 10 THEN 1.0 / r ELSE 0.0 END), 6) AS mrr_10 FROM e")
 def recall_mrr(spark, sf):
-    """Of the benchmark's passages: is a document that holds the passage's beginning found by it."""
-    b = F.broadcast(t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.expr("substr(text, 1, 60)").alias("start")))  # a benchmark, not the corpus
-    wanted = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(b, F.expr("contains(text, start)")).select("qid", "id")
-    return search.evaluate(search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50), wanted)
+    """Of the benchmark's passages: is a document that holds the whole passage found by it."""
+    docs, asked = t(spark, sf, "documents"), _asked(spark, sf)
+    return search.evaluate(search.bm25(docs, asked, 50), search.passage_holders(docs, asked))
 
 
-@query(f"WITH {_bm25_sql('documents', 50)}, dd AS (SELECT doc_id AS id, {_tok('text')} AS tk FROM documents), qq AS (SELECT item_id AS qid, list_distinct({_tok('text')}) AS q FROM benchmark), x AS (SELECT bm.qid, bm.id, bm.rank AS old_rank, round(len(list_intersect(q, list_distinct(dd.tk))) / greatest(len(q), 1), 6) AS rerank_score FROM bm JOIN dd USING (id) JOIN qq USING (qid)) SELECT qid, id, old_rank, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, old_rank) AS rank FROM x")
+@query(f"WITH {_bm25_sql('documents', 50)}, dd AS (SELECT doc_id AS id, {_words('text')} AS tk FROM documents), qq AS (SELECT item_id AS qid, list_distinct({_words('text')}) AS q FROM benchmark), x AS (SELECT bm.qid, bm.id, bm.rank AS old_rank, round(len(list_intersect(q, list_distinct(dd.tk))) / greatest(len(q), 1), 6) AS rerank_score FROM bm JOIN dd USING (id) JOIN qq USING (qid)) SELECT qid, id, old_rank, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, old_rank) AS rank FROM x")
 def rerank_lexical(spark, sf):
     docs, asked = t(spark, sf, "documents"), _asked(spark, sf)
     return search.rerank_lexical(search.bm25(docs, asked, 50), asked, docs).select("qid", "id", "old_rank", "rerank_score", "rank")
@@ -169,10 +196,7 @@ x AS (SELECT qid, doc_id AS id, count(*) AS score FROM w JOIN documents ON conta
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10""")
 def grep_discovery(spark, sf):
     """Documents by how many of a query's longer words stand in them, also inside words."""
-    words = _asked(spark, sf).select("qid", F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))).alias("words"))
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("body")).join(F.broadcast(words))  # the benchmark's queries against all rows
-    got = d.withColumn("score", F.size(F.filter("words", lambda w: F.contains(F.col("body"), w))).cast("long")).filter("score > 0").select("qid", "id", "score")
-    return search.top(got, ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
+    return search.grep_discovery(t(spark, sf, "documents"), _asked(spark, sf), 10).select("qid", "id", "score", "rank")
 
 
 _LINES = "l AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents), ln AS (SELECT doc_id, ls, len(ls) AS n FROM l WHERE len(ls) > 0)"
@@ -216,12 +240,12 @@ def orphan_purge(spark, sf):
     return indexing.purge(old, new).select("file")
 
 
-_EDGES = "e AS (SELECT DISTINCT * FROM (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation))"
+_EDGES = "e AS (SELECT DISTINCT * FROM (SELECT 'customer/' || c_custkey AS src, 'nation/' || c_nationkey AS dst FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation UNION ALL SELECT 'supplier/' || l_suppkey, 'part/' || l_partkey FROM lineitem))"
 
 
 def _edges(spark, sf) -> DataFrame:
     out = None
-    for table, a, b, x, y in (("customer", "customer", "nation", "c_custkey", "c_nationkey"), ("supplier", "supplier", "nation", "s_suppkey", "s_nationkey"), ("nation", "nation", "region", "n_nationkey", "n_regionkey")):
+    for table, a, b, x, y in (("customer", "customer", "nation", "c_custkey", "c_nationkey"), ("supplier", "supplier", "nation", "s_suppkey", "s_nationkey"), ("nation", "nation", "region", "n_nationkey", "n_regionkey"), ("lineitem", "supplier", "part", "l_suppkey", "l_partkey")):
         part = t(spark, sf, table).select(F.concat(F.lit(a + "/"), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + "/"), F.col(y).cast("string")).alias("dst"))
         out = part if out is None else out.union(part)
     return out.distinct()
@@ -256,18 +280,26 @@ def khop_neighbors(spark, sf):
     return graph.khop(e, e.filter(F.col("src").startswith("supplier/")).select(F.col("src").alias("node")).distinct(), 2)
 
 
-def _ppr_sql(rounds: int) -> str:
-    ctes = f"{_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT dst AS u, count(*) AS deg FROM e GROUP BY dst), k AS (SELECT count(*) AS k FROM n WHERE node LIKE 'supplier/%'), p AS (SELECT node, CASE WHEN node LIKE 'supplier/%' THEN 1.0::DOUBLE / k ELSE 0.0::DOUBLE END AS p, deg FROM n LEFT JOIN o ON o.u = node, k), r0 AS (SELECT node, p, deg, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM p)"
-    for i in range(1, rounds + 1):
-        ctes += f", f{i} AS (SELECT e.src AS v, sum(r / deg) AS x FROM e JOIN r{i - 1} ON node = e.dst GROUP BY e.src), z{i} AS (SELECT coalesce(sum(r), 0) AS z FROM r{i - 1} WHERE deg IS NULL), r{i} AS (SELECT node, p, deg, 0.85::DOUBLE * (coalesce(x, 0) + z * p) + (1 - 0.85::DOUBLE) * p AS r FROM r{i - 1} LEFT JOIN f{i} ON v = node, z{i})"
-    return ctes
+#: The query's rule: ranks stop where they change by less than nodes * 1e-6 in sum; the SQL has more rounds than that takes.
+_ROUNDS = 64
+
+
+def _ppr_sql() -> str:
+    m = "AS MATERIALIZED"
+    ctes = f"WITH {_EDGES.replace(' AS (', f' {m} (', 1)}, n {m} (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT dst AS u, count(*) AS deg FROM e GROUP BY dst), k AS (SELECT count(*) AS k FROM n WHERE node LIKE 'part/%0'), r0 {m} (SELECT node, deg, CASE WHEN node LIKE 'part/%0' THEN 1.0::DOUBLE / k ELSE 0.0::DOUBLE END AS p, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM n LEFT JOIN o ON o.u = node, k)"
+    for i in range(1, _ROUNDS + 1):
+        ctes += f", f{i} AS (SELECT e.src AS v, sum(r / deg) AS x FROM e JOIN r{i - 1} ON node = e.dst GROUP BY e.src), r{i} {m} (SELECT node, deg, p, 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE deg IS NULL) * p) + (1 - 0.85::DOUBLE) * p AS r FROM r{i - 1} LEFT JOIN f{i} ON v = node)"
+    every = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.r - b.r)) AS change FROM r{i} a JOIN r{i - 1} b USING (node)" for i in range(1, _ROUNDS + 1))
+    last = " UNION ALL ".join(f"SELECT node, round(r, 8) AS ppr FROM r{i} WHERE (SELECT i FROM stop) = {i}" for i in range(1, _ROUNDS + 1))
+    return f"{ctes}, c {m} ({every}), stop {m} (SELECT min(i) AS i FROM c WHERE change < (SELECT count(*) FROM n) * 1e-6) {last}"
 
 
-@query(f"WITH {_ppr_sql(3)} SELECT node, round(r, 8) AS ppr FROM r3")
+@query(_ppr_sql())
 def reverse_ppr(spark, sf):
+    """Seeds: every tenth part. Rank flows from parts to suppliers and from nations to what lies in them."""
     e = _edges(spark, sf)
-    got = graph.reverse_ppr(e, e.filter(F.col("src").startswith("supplier/")).select(F.col("src").alias("node")), iterations=3, tol=0.0)
-    return got.select("node", F.round("ppr", 8).alias("ppr"))
+    seeds = e.filter(F.col("dst").startswith("part/") & F.col("dst").endswith("0")).select(F.col("dst").alias("node"))
+    return graph.reverse_ppr(e, seeds, strict=True).select("node", F.round("ppr", 8).alias("ppr"))
 
 
 @query("WITH a AS (SELECT s_suppkey AS id, 'nation/' || s_nationkey AS file, 1.0::DOUBLE / (60 + s_suppkey) AS score FROM supplier), b AS (SELECT 'nation/' || c_nationkey AS node, count(*)::DOUBLE AS ppr FROM customer GROUP BY 1) SELECT id, round(0.6::DOUBLE * score / (SELECT max(score) FROM a) + 0.4::DOUBLE * coalesce(ppr / (SELECT max(ppr) FROM b), 0), 6) AS score FROM a LEFT JOIN b ON file = node")
@@ -277,13 +309,28 @@ def merge_rrf_ppr(spark, sf):
     return graph.merge_rrf_ppr(a, b)
 
 
-@query(f"WITH {_bm25_sql('documents', 50)}, x AS (SELECT bm.qid, bm.id, bm.score, d.source, max(bm.score) OVER (PARTITION BY qid) AS m FROM bm JOIN documents d ON d.doc_id = bm.id), y AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, id) AS pf FROM x WHERE score >= 0.35 * m) SELECT qid, id, round(score / m, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM y WHERE pf <= 2 QUALIFY rank <= 10")
+_KIND = "CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class' ELSE 'module' END"
+
+
+@query(f"""WITH {_bm25_sql('documents', 50)}, {_dense_sql('true', 50, _BENCH)}, fu AS (SELECT qid, id, round(sum(part), 8) AS s, min(l * 1000000 + rank) AS spot FROM (
+SELECT qid, id, 1.0 / (60 + rank) AS part, 0 AS l, rank FROM dn UNION ALL SELECT qid, id, 0.5 / (60 + rank), 1, rank FROM bm) GROUP BY qid, id),
+pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot, id) AS place FROM fu QUALIFY place <= 60),
+x AS (SELECT pool.*, source AS file_path, max(s) OVER (PARTITION BY qid) AS best FROM pool JOIN documents ON doc_id = id WHERE {_KIND} <> 'module'),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid, file_path ORDER BY place) AS pf FROM x WHERE s >= 0.35 * best)
+SELECT qid, id, file_path, round(s / best, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM y WHERE pf <= 2 QUALIFY rank <= 10""")
 def find_existing(spark, sf):
-    """Hits of at least 0.35 of the best, two a file (here a source) at most, the first ten."""
-    got = search.bm25(t(spark, sf, "documents"), _asked(spark, sf), 50).join(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
-    got = got.withColumn("m", F.max("score").over(W.partitionBy("qid"))).filter("score >= 0.35 * m")
-    got = search.top(got.drop("rank"), ("qid", "source"), 2, F.desc("score"), F.asc("id"), rank="pf")
-    return search.top(got.drop("pf"), ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", F.round(F.col("score") / F.col("m"), 6).alias("score"), "rank")
+    """The fused pool in the lists' order, at least 0.35 of the best, two a file (here a source) at most, the first ten."""
+    dense, sparse = _lists(spark, sf)
+    kinds = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.expr(_KIND).alias("chunk_type"))
+    return search.find_existing([(dense, 1.0), (sparse, 0.5)], kinds, 10).select("qid", "id", "file_path", "score", "rank")
+
+
+@query(f"WITH {_dense_sql('true', 5)} SELECT dn.qid, dn.id, dn.rank FROM dn JOIN embeddings a ON a.vec_id = dn.qid JOIN embeddings b ON b.vec_id = dn.id WHERE a.label = b.label")
+def symbol_fuzzy(spark, sf):
+    """The five nearest, then those of one's own label (a language): fewer than five may be left."""
+    label = t(spark, sf, "embeddings").select(F.col("vec_id").alias("x"), F.col("label").alias("l"))
+    got = search.dense(_vectors(spark, sf), _asked_vectors(spark, sf), 5).join(label, F.col("qid") == F.col("x")).withColumnRenamed("l", "asked").drop("x")
+    return got.join(label, F.col("id") == F.col("x")).filter("asked = l").select("qid", "id", "rank")
 
 
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -305,13 +352,19 @@ def import_edges(spark, sf):
     return links.join(known, "spec", "left").select("src", "spec", F.coalesce("k", F.lit(False)).alias("resolved"))
 
 
-@query(f"WITH m AS (SELECT conv_id * 1000 + turn AS id, role, list_distinct({_tok('text')}) AS tk FROM conversations), q AS (SELECT item_id AS qid, list_distinct({_tok('text')}) AS q FROM benchmark), x AS (SELECT qid, id, CAST(len(list_intersect(q, tk)) AS BIGINT) AS score FROM m, q WHERE role = 'user' AND list_has_any(q, tk)) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10")
+_NOTE_TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""WITH m AS (SELECT conv_id || '/' || turn AS id, role, {_NOTE_TOK.format('text')} AS tk FROM conversations), st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM m),
+q AS (SELECT item_id AS qid, unnest(list_distinct({_NOTE_TOK.format('text')})) AS term FROM benchmark),
+tf AS (SELECT id, role, dl, term, count(*) AS tf FROM (SELECT id, role, len(tk) AS dl, unnest(tk) AS term FROM m) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT qid, id, round(sum(greatest(CASE WHEN n - df > df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st WHERE role = 'user' GROUP BY qid, id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 10""")
 def memory_recall(spark, sf):
-    """Notes of one category (users' turns) by how many of a query's terms they hold, any of them."""
-    m = t(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    q = _asked(spark, sf).select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    got = m.join(q, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
-    return search.top(got, ("qid",), 10, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank")
+    """Notes of one category (users' turns) by the full-text BM25 of a query's words, any of them."""
+    m = t(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", "text")
+    q = _asked(spark, sf).select("qid", F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("terms"))
+    return search.fts(m, q, 10, F.col("role") == "user").select("qid", "id", "score", "rank")
 
 
 def _route_sql(col: str) -> str:
@@ -329,16 +382,76 @@ def summarize_project(spark, sf):
     return t(spark, sf, "documents").groupBy(F.col("source").alias("project"), F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("last"))
 
 
-@query("SELECT source AS project, CAST(sum(len(regexp_extract_all(text, '(?i)\\b(licensed|copyright|password|token)\\b'))) AS BIGINT) AS markers, CASE WHEN sum(len(regexp_extract_all(text, '(?i)\\b(licensed|copyright|password|token)\\b'))) > 20 THEN 'needs-attention' ELSE 'healthy' END AS health FROM documents GROUP BY source")
-def project_status_markers(spark, sf):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b(licensed|copyright|password|token)\b"), F.lit(1)))
-    got = t(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.sum(n).alias("markers"))
-    return got.withColumn("health", F.when(F.col("markers") > 20, "needs-attention").otherwise("healthy"))
+def _chunked(spark, sf, strategy: str = "ast", size: int = 64, overlap: int = 16) -> DataFrame:
+    return chunks.chunk_files(sample.sources(spark, sf), strategy, size, overlap)
+
+
+@query(sample.chunks_sql())
+def source_chunks(spark, sf):
+    """Symbols of files of eight languages: names, kinds, lines, parents, ids and sentences."""
+    return _chunked(spark, sf).select("id", "file_path", "language", "chunk_type", "name", "start_line", "end_line", "parent_name", "semantic_text")
+
+
+@query(sample.windows_sql())
+def source_gap_windows(spark, sf):
+    """Windows of four lines in the gaps between symbols."""
+    return _chunked(spark, sf, "hybrid", 4, 1).filter("chunk_type = 'window'").select("file_path", "start_line", "end_line")
+
+
+@query(sample.descriptions_sql())
+def source_descriptions(spark, sf):
+    return _chunked(spark, sf).filter("chunk_type <> 'module'").select("file_path", "name", "start_line", semantic.description(F.col("semantic_text"), F.col("name")).alias("description"))
+
+
+@query(sample.imports_sql())
+def source_imports(spark, sf):
+    """What each file imports, and the file that it means, if that is there."""
+    files = written(sample.sources(spark, sf), "sample-sources")
+    return imports.resolve(imports.import_specs(files), files).select("project", "src", "import_name", "resolved", "dst")
+
+
+@query(sample.status_sql())
+def project_status(spark, sf):
+    """Markers of work left, stubs, the share of tests, and what follows for a project's health."""
+    c = _chunked(spark, sf).withColumn("project", F.split_part("file_path", F.lit("/"), F.lit(2)))
+    n = F.size(semantic.markers(F.concat_ws(" ", "raw_content", "semantic_text")))
+    stub = semantic.is_stub(F.col("chunk_type"), F.col("raw_content")).cast("long")
+    got = c.groupBy("project", "file_path").agg(F.sum(n).alias("todo"), F.sum(stub).alias("stub")).groupBy("project")
+    got = got.agg(F.sum("todo").alias("todo_count"), F.sum("stub").alias("stub_count"), F.count(F.lit(1)).alias("source_files"), F.round(F.avg(semantic.is_test(F.col("file_path")).cast("double")), 2).alias("ratio"))
+    return got.withColumn("health", F.when((F.col("todo_count") > 20) | (F.col("stub_count") > 5), "needs-attention").otherwise("good"))
+
+
+@query("WITH o AS (SELECT 's' || l_suppkey AS file, 'p' || l_partkey AS symbol, l_linenumber = 1 AS def, l_orderkey AS nth FROM lineitem), d AS (SELECT symbol, arg_max(file, {'nth': nth, 'file': file}) AS dst FROM o WHERE def GROUP BY symbol) SELECT DISTINCT file AS src, dst FROM o JOIN d USING (symbol) WHERE NOT def AND file <> dst")
+def occurrence_edges(spark, sf):
+    """References to other files' definitions; of a symbol's definitions the last counts."""
+    o = t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("file"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"), (F.col("l_linenumber") == 1).cast("int").alias("role"), F.col("l_orderkey").alias("nth"))
+    return imports.occurrence_edges(o)
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def edge_upsert(spark, sf):
+    """Of rows with one key the one written last."""
+    return indexing.latest(t(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("WITH f AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'click' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR), u AS (SELECT event_id FROM events WHERE event_type = 'error') SELECT event_id FROM u UNION ALL SELECT event_id FROM f WHERE r <= greatest(0, 5000 - (SELECT count(*) FROM u))")
+def task_prune(spark, sf):
+    """Tasks that run (errors) stay; of those that have ended (clicks) none older than a day, and the latest up to 5000 in all."""
+    e = t(spark, sf, "events").filter("event_type IN ('click', 'error')")
+    now = e.sparkSession.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0]
+    ended = e.select("event_id", F.when(F.col("event_type") == "click", F.col("ts")).alias("finished_at"))
+    return indexing.prune(ended, now, "24 hours", 5000).select("event_id")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN role IN ({', '.join(repr(c) for c in CATEGORIES)}) THEN role ELSE 'general' END AS category FROM conversations")
+def memory_categories(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role").isin(*CATEGORIES), F.col("role")).otherwise("general").alias("category"))
 
 
-@query("SELECT source AS project, round(avg(CASE WHEN regexp_matches(text, '^The') THEN 1.0 ELSE 0.0 END), 2) AS ratio FROM documents GROUP BY source")
-def test_ratio(spark, sf):
-    return t(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.round(F.avg(F.col("text").rlike("^The").cast("double")), 2).alias("ratio"))
+@query(f"WITH {_EDGES}, n AS (SELECT count(*) AS edges FROM e) SELECT edges, edges >= 50 AS applied, CASE WHEN edges >= 250 THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS weight FROM n")
+def ppr_gate(spark, sf):
+    """Whether, and with what weight, PageRank counts: by the number of edges."""
+    return graph.gate(_edges(spark, sf))
 
 
 @query("WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) FROM pages) SELECT url, root FROM (SELECT url, root, row_number() OVER (PARTITION BY url ORDER BY length(root) DESC) AS k FROM (SELECT DISTINCT url FROM pages) JOIN r ON root <> '' AND (url = root OR starts_with(url, root || '/'))) WHERE k = 1")

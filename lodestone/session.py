@@ -71,6 +71,34 @@ _BYTES_KEY, _ROWS_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql
 _DEFAULT = ("67108864b", "10000")
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared store, None where it isn't there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(conf)
+    if not fs.exists(hp):
+        return None
+    stream = fs.open(hp)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file there at once: it is written beside and then renamed over the old one."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    beside, hp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(path)
+    out = hp.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(hp.toUri(), conf).rename(beside, hp, how)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once a context, and bound their batches, if the session doesn't."""
     sc = spark.sparkContext

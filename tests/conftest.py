@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from lodestone.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(os.environ.get("TEST_CPUS", "4"), 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import queries as q
 from lodestone.functions import text as T
 from lodestone.operators import graph, indexing, search
-from lodestone.streaming.debounce import debounce
+from lodestone.streaming.debounce import debounce, reindex_on_change
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,7 +76,54 @@ def test_debounce_as_a_stream(spark, tmp_path):
     assert sorted((r["n"], r["paths"]) for r in spark.table("sessions").collect()) == [(1, ["a"]), (2, ["a", "b"])]
 
 
-@pytest.mark.parametrize("name", ["token_df", "bm25_topk", "dense_topk", "rrf_fuse", "sliding_windows", "khop_neighbors", "merge_rrf_ppr", "debounce_sessions", "registry_longest_prefix"])
+def test_dense_without_ids_and_vectors(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, v array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (None, [1.0, 1.0]), (3, [0.0, 0.0])], "qid long, v array<double>")
+    assert [(r["qid"], r["id"], r["rank"]) for r in search.dense(v, asked, 1).collect()] == [(1, "a", 1)]
+    assert search.dense(v, asked.limit(0), 1).count() == 0
+
+
+def test_written_index_ranks_as_the_direct_plan(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 3} camelCase_{i} alpha beta" + " beta" * (i % 4)) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "beta camel"), (1, "word1 CASE"), (None, "beta")], "qid long, query string")
+    search.write_index(docs, str(tmp_path / "ix"))
+    rows = lambda df: sorted(map(tuple, df.select("qid", "id", "score", "rank").collect()))
+    a, b = rows(search.bm25(docs, asked, 7)), rows(search.bm25_index(spark.read.parquet(str(tmp_path / "ix")), asked, 7))
+    assert a == b and len(a) == 14
+
+
+def test_large_and_small_graphs_agree(spark, monkeypatch):
+    e = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + 3) % 23}") for i in range(40)] + [("app", "n1"), ("n2", "app")], "src string, dst string")
+    seeds = spark.createDataFrame([("n1",), ("app",), ("none",)], "node string")
+    small = {r["node"]: r["ppr"] for r in graph.reverse_ppr(e, seeds, iterations=6, tol=0.0).collect()}
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 3)
+    large = {r["node"]: r["ppr"] for r in graph.reverse_ppr(e, seeds, iterations=6, tol=0.0).collect()}
+    assert large == pytest.approx(small) and sum(small.values()) == pytest.approx(1)
+    monkeypatch.undo()
+    with pytest.raises(graph.NotConverged):
+        graph.reverse_ppr(e, seeds, iterations=1, tol=1e-12, strict=True)
+    assert graph.reverse_ppr(e.limit(0), seeds).count() == 0
+
+
+def test_neighbours_through_hubs(spark):
+    e = spark.createDataFrame([("hub", f"leaf{i:02d}") for i in range(30)] + [("app", "hub"), ("app", "zz")], "src string, dst string")
+    got = {r["seed"]: r["neighbors"] for r in graph.khop(e, spark.createDataFrame([("app",), ("leaf00",), ("none",)], "node string"), 2, 3).collect()}
+    assert got == {"app": "hub,leaf00,leaf01", "leaf00": "app,hub,leaf01", "none": ""}
+
+
+def test_event_sets_reach_their_projects(spark, tmp_path):
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    rows = [(at(0), "/p/a.py", None), (at(1), "/p/sub/b.txt", "/p/sub/c.go"), (at(1), "/other/x.py", None), (at(50), "/p/z.py", None), (at(55), "/p2/z.py", None)]
+    spark.createDataFrame(rows, "ts timestamp, path string, moved_to string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, path string, moved_to string").parquet(str(tmp_path / "in"))
+    done: list[str] = []
+    run = reindex_on_change(stream, ["/p", "/p/sub", "/p2"], done.append, str(tmp_path / "check"), late="1 second")
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(done) == ["/p", "/p/sub"]
+
+
+@pytest.mark.parametrize("name", ["token_df", "bm25_topk", "dense_topk", "rrf_fuse", "sliding_windows", "khop_neighbors", "merge_rrf_ppr", "debounce_sessions", "registry_longest_prefix", "find_existing", "memory_recall", "source_chunks", "source_imports", "project_status"])
 def test_query_against_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
