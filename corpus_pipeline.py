@@ -1,8 +1,12 @@
 """A corpus pipeline: toxic documents go, near-duplicates and secrets go, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result and reads it again for
-the next. All but the last return the columns of documents. Nulls, empty and long texts, ties, repeated rows, empty
-tables and further columns are dealt with as each operator's module says.
+the next. All but the last return the columns of documents.
+
+Defined results: null and empty texts pass toxicity by their score, are one class of near-duplicates, hold no secret,
+and have size 0, so that the mix takes none; texts of any length are worked on whole; of near-duplicates of one least id
+the first row stays; rows that are repeated by the mix are encoded as often; empty tables give empty tables. Further
+columns come through all stages but the last, whatever their names; only doc_id, text, source and n_chars are looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from lodestone.llm.mixing import mix
 from lodestone.llm.near_dup import drop_near_duplicates
 from lodestone.llm.secrets import redact
 from lodestone.llm.toxicity import drop_toxic
-from lodestone.session import written
+from lodestone.session import remove, scratch, shared_path, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage works with goes when its result is written, and its input after that."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        at = shared_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs

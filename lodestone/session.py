@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,33 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below this application's own folder, which clean() removes."""
+    return "/".join((_home(spark), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"))
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables that are made inside go when it ends; what shall stay must be written elsewhere before."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    at = "/".join((_home(spark), *_SCRATCH))
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        remove(spark, at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all working tables of this application; results that were not written elsewhere go with them."""
+    remove(spark, _home(spark))
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -66,7 +92,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 #: Bytes and rows of an Arrow batch on its way to a Python worker (the row that goes over the bytes is still in it).
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 _BYTES_KEY, _ROWS_KEY = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
 _DEFAULT = ("67108864b", "10000")
 
