@@ -9,7 +9,8 @@ Many pieces are worked on at a time: pieces of up to the same power of two of sy
 each step takes the root of every tree that still has a pair. A long piece has a tree of its own.
 
 Defined results: null text is the empty text, which has no ids and decodes to the empty text; repeated rows give
-repeated results; other columns of the input are not looked at. Whole texts are encoded, of any length.
+repeated results; of equal ranks the leftmost pair is merged; an empty table gives no rows; other columns of the input
+are not looked at. Whole texts are encoded, of any length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ LONG = 256
 #: Characters of text worked on at a time.
 BYTES = 2_000_000
 #: Entries of a worker's memory of encoded units (about 150 bytes each); it is emptied when full, which changes no result.
-MEMORY = 600_000
+MEMORY = 300_000
 _NONE = np.int64(1) << 62
 
 _SIMPLE = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ]")

@@ -14,7 +14,8 @@ characters so many turns. Since the tokenizer splits at the control strings, a c
 
 Defined results: null text and null role are the empty text; rows of a conversation are ordered by turn, role and
 text, nulls first, so ties and repeated rows have one order and all count; rows with a null conversation id form one
-conversation; an empty table gives what the extra rows give. Other columns are not looked at.
+conversation; a conversation of any length is taken whole, in blocks; an empty table gives no rows (op2 still has its
+extra conversation). Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -33,6 +35,14 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine; it may stand idle for the rest of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[[Columns], Columns], schema: str | T.StructType, rows: int = ROWS, once: Callable[[], None] | None = None) -> DataFrame:
     """df's batches as dicts of Python lists through fn; no shuffle, memory bounded by one slice of rows."""
     ship(df.sparkSession)
@@ -47,6 +57,9 @@ def map_columns(df: DataFrame, fn: Callable[[Columns], Columns], schema: str | T
                 part = batch.slice(at, rows)
                 got = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow)
+                del part, got
+            del batch
+        release()
 
     return df.mapInArrow(run, out)
 

@@ -11,11 +11,13 @@ fingerprint run; its windows are all kept.
 A template of more than SHORT words whose parts lie on several diagonals, as where more than BAND words were put into
 it, is then chained: of its windows outside the matches found so far the longest run that rises in text and template,
 and the words between them, near them. Coverage is that of the whole chain, whatever lies between its parts.
-A template that names a license matches only where the license's name and version stand in the matched parts (TELLING).
+A template that names a license matches only where the license's name and version stand in the matched parts (TELLING)
+and no word denies it there or just before (DENIALS).
 
 Rows are independent: no shuffle, one row in memory; a band's cells are bounded by the template's length.
 
-Defined results: null, empty and wordless texts have no match; repeated rows give repeated results; a text that holds a
+Defined results: null, empty and wordless texts have no match; texts of any length are searched whole; an empty table
+gives no rows; repeated rows give repeated results; a text that holds a
 template several times gives a match for each place; of matches whose parts overlap the one with more matched words
 stays, of equal ones the first template by name; a match between the parts of another stays too. Other columns aren't
 looked at.
@@ -24,7 +26,7 @@ looked at.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -44,6 +46,10 @@ TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-notice": "Licensed under the BSD License",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0",
@@ -84,11 +90,14 @@ TELLING = {
     "gpl-2.0-notice": _named(_GPL, "2"),
     "gpl-3.0-notice": _named(_GPL, "3"),
     "gpl-3.0-work": _named(_GPL, "3"),
+    "bsd-notice": _named("bsd"),
     "mit-notice": _MIT,
     "mit-licensed": _MIT,
     "mpl-2.0-notice": _named(rf"mozilla{_GAP}public{_GAP}licen[sc]e|mpl", "2"),
 }
 
+# Words that turn a notice round, put into it or just before it.
+DENIALS = frozenset("not never isn aren wasn cannot nicht pas".split())
 _TOKEN = re.compile(r"(?<![^\W_])[vV](?=\d)|[^\W_]+")  # v2 is v, 2
 _NUMBER = re.compile(r"(?:\.?\d)*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -149,26 +158,26 @@ class Index:
 def align(doc: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Matched words, and the first and last matched place of doc: the longest common subsequence inside a band.
 
-    Template word j may be matched with doc word j + shift + d, |d| <= band. A cell's value is (matches, -start), so
-    of equal matches the one that starts later, the tighter one, is kept.
+    Template word j may be matched with doc word j + shift + d, |d| <= band. A cell's value is (matches, start, -end), so
+    of equal matches the tightest is kept: the one that starts last, and of those the one that ends first.
     """
     width = 2 * band + 1
-    prev: list[tuple[int, int, int]] = [(0, 0, -1)] * width
+    prev: list[tuple[int, int, int]] = [(0, 0, 1)] * width
     for j, w in enumerate(template):
         now: list[tuple[int, int, int]] = []
         for d in range(width):
             i = j + shift + d - band
-            best = prev[d + 1] if d + 1 < width else (0, 0, -1)  # this template word has no match
+            best = prev[d + 1] if d + 1 < width else (0, 0, 1)  # this template word has no match
             if d and now[d - 1] > best:
                 best = now[d - 1]  # this word of the text has none
             if 0 <= i < len(doc) and doc[i] == w:
                 m, s, _ = prev[d]
-                hit = (m + 1, s if m else -i, i)
+                hit = (m + 1, s if m else i, -i)
                 best = max(best, hit)
             now.append(best)
         prev = now
     m, s, e = max(prev)
-    return m, -s, e
+    return m, s, -e
 
 
 def common(doc: list[str], template: list[str]) -> list[int]:
@@ -257,6 +266,9 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
             there = " ".join(text[starts[a] : _NUMBER.match(text, ends[e]).end()] for a, e in parts)
             if not telling.search(there):
                 return
+            own = set(index.words[t])
+            if any(w in DENIALS and w not in own for a, e in parts for w in words[max(0, a - 2) : e + 1]):
+                return
         found.append((index.names[t], starts[parts[0][0]], ends[parts[-1][1]], m, m / len(index.words[t]), parts))
 
     for t, diagonals in hits.items():
@@ -284,9 +296,13 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
             used = set(at)
             left = [(i, j) for i, j in left if used.isdisjoint(range(i, i + K))]
     kept: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # the parts of those kept, in order; they don't overlap
     for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
-        if all(a > d or c > b for y in kept for a, b in x[5] for c, d in y[5]):
+        at = [bisect_right(taken, (b, len(words))) for _, b in x[5]]
+        if all(not k or taken[k - 1][1] < a for k, (a, _) in zip(at, x[5], strict=True)):
             kept.append(x)
+            for part in x[5]:
+                insort(taken, part)
     return [x[:5] for x in sorted(kept, key=lambda x: (x[1], x[0]))]
 
 

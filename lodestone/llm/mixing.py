@@ -34,6 +34,8 @@ from lodestone.session import shared_path, ship, written
 
 #: Ranges of draws in which the documents of one source and length are counted: two to this power.
 RANGE_BITS = 8
+#: Words that are left at least, where there are so many, for the dynamic program to fit.
+FITTED = 50_000
 #: Rows (source, length: about 50 bytes each) up to which the plan is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -41,8 +43,9 @@ BROADCAST_ROWS = 500_000
 def fit_counts(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
     """How many documents of each length to take for a sum of at most budget, as near to it as found.
 
-    A proportional share first, then longest lengths first down to twice the longest length, then the dynamic
-    program on that: its states are the sums up to the rest, as bits of one integer.
+    A proportional share first, then longest lengths first down to a rest of twice the longest length or FITTED words,
+    whichever is more, then the dynamic program on that: its states are the sums up to the rest, as bits of one integer.
+    A budget of no more than that rest is fitted as a whole.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     taken = [0] * len(lengths)
@@ -50,10 +53,11 @@ def fit_counts(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
         return taken
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total for c in counts]
+    keep = max(2 * max(lengths), FITTED)
+    if budget > keep:
+        taken = [c * budget // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
-    keep = 2 * max(lengths)
     for i in order:
         if left > keep:
             k = min(counts[i] - taken[i], (left - keep) // lengths[i])

@@ -31,13 +31,18 @@ at by near_duplicates() and come through drop_near_duplicates() as they are, wha
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import spread
 from lodestone.llm.common import map_columns, mix, shingle_hashes, table, word_hashes, words_of
-from lodestone.session import remove, shared_path, written
+from lodestone.session import remove, shared_path, ship, written
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, WIDTH = 40, 8
@@ -229,27 +234,82 @@ def components(links: DataFrame, base: str) -> DataFrame:
             return label
 
 
+#: Bits of a place in the sketch of how often elements occur, and parts in which it is summed up: 8 MB as a whole, whatever the input.
+SKETCH_BITS, SLICES = 22, 16
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (mix(h.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def sketch(nodes: DataFrame) -> np.ndarray:
+    """How often the elements of all nodes fall on each place, 65535 at most: never less than any element there occurs.
+
+    A task counts what it reads and gives its places and counts packed, a row for each slice; slices are summed up apart,
+    and SLICES rows of one size reach the driver.
+    """
+    ship(nodes.sparkSession)
+    schema, wide = pa.schema([("slice", pa.int32()), ("data", pa.binary())]), (1 << SKETCH_BITS) // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SKETCH_BITS, np.uint16)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                at, k = np.unique(_places(np.frombuffer(x, np.int64)), return_counts=True)
+                n[at] = np.minimum(n[at].astype(np.int64) + k, 0xFFFF)
+        for i in range(SLICES):
+            part = n[i * wide : (i + 1) * wide]
+            if len(at := np.flatnonzero(part)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(at.astype("<u4").tobytes() + part[at].astype("<u2").tobytes(), 1)])], schema=schema)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = zlib.decompress(data)
+                m = len(raw) // 6
+                n = sums.setdefault(i, np.zeros(wide, np.int64))
+                n[np.frombuffer(raw, "<u4", m)] += np.frombuffer(raw, "<u2", m, 4 * m)
+        for i, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(n, 0xFFFF).astype("<u2").tobytes()])], schema=schema)
+
+    kinds = "slice int, data binary"
+    out = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for r in nodes.select("elements").mapInArrow(count, kinds).repartition("slice").mapInArrow(total, kinds).collect():
+        out[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["data"], "<u2")
+    return out
+
+
 def prefix_pairs(nodes: DataFrame, put, least: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of nodes (uid, label, elements) of different labels that can have a Jaccard of least; none is missed.
+    """Pairs (a, b) of nodes (uid, label, elements; written) of different labels that can have a Jaccard of least; none is missed.
 
-    With elements from the rarest on, sets of n <= m elements with that Jaccard share one among the first
-    n - 2 least n / (1 + least) + 1 of the smaller and m - least m + 1 of the larger, and enough are left behind it.
-    Texts that have much in common but not enough begin with what is theirs alone, and don't meet.
+    With all elements in one order, sets of n <= m elements with that Jaccard share one among the first
+    n - 2 least n / (1 + least) + 1 of the smaller and m - least m + 1 of the larger, and enough are left behind it. The
+    order is from rare to frequent ones by a sketch, then by the hash: any order misses nothing, and by this one texts that
+    have much in common but not enough begin with what is theirs alone, and don't meet. An element that the sketch has
+    once stands in one set and joins nothing.
     """
-    kinds = "uid long, label long, e array<long>"
-    listed = map_columns(nodes.select("uid", "label", "elements"), lambda c: {"uid": c["uid"], "label": c["label"], "e": [np.frombuffer(x, np.int64) for x in c["elements"]]}, kinds)
-    each = put(listed.select("uid", "label", F.size("e").alias("n"), F.explode("e").alias("e")), "elements")
-    often = each.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
-    order = each.join(often.filter("often > 1"), "e", "left").groupBy("uid", "label", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "e"))).alias("es"))
+    often = nodes.sparkSession.sparkContext.broadcast(sketch(nodes))
+
+    def firsts(c: dict) -> dict:
+        out: dict = {k: [] for k in ("uid", "label", "n", "i", "e")}
+        for uid, label, x in zip(c["uid"], c["label"], c["elements"], strict=True):
+            h = np.frombuffer(x, np.int64)
+            count = often.value[_places(h)]
+            order = np.lexsort((h, count))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
+            at = np.flatnonzero(count[order] > 1)
+            for k, v in (("uid", [uid] * len(at)), ("label", [label] * len(at)), ("n", [len(h)] * len(at)), ("i", (at + 1).tolist()), ("e", h[order[at]].tolist())):
+                out[k] += v
+        return out
+
     whole = 2 * least / (1 + least)
-    # an element that stands in one set alone joins nothing
-    first = order.select("uid", "label", "n", F.posexplode(F.expr(f"slice(es, 1, n - CAST(ceil({least} * n - 1e-9) AS INT) + 1)")).alias("i", "x")).select("uid", "label", "n", "i", "x.*").filter("often > 1").drop("often")
-    first = put(first, "prefixes")
-    small = first.filter(F.col("i") <= F.col("n") - F.ceil(whole * F.col("n") - 1e-9))
+    first = put(map_columns(nodes.select("uid", "label", "elements"), firsts, "uid long, label long, n int, i int, e long"), "prefixes")
+    small = first.filter(F.col("i") <= F.col("n") - F.ceil(whole * F.col("n") - 1e-9) + 1)
     large = first.select("e", *[F.col(c).alias(f"{c}2") for c in ("uid", "label", "n", "i")])
     turn = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("uid") < F.col("uid2")))
-    behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
-    got = small.join(large, "e").filter(turn & behind & (F.col("label") != F.col("label2")))
+    fits = F.col("n") >= F.ceil(least * F.col("n2") - 1e-9)
+    behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
+    got = small.join(large, "e").filter(turn & fits & behind & (F.col("label") != F.col("label2")))
     return got.select(F.least("uid", "uid2").alias("a"), F.greatest("uid", "uid2").alias("b")).distinct()
 
 
@@ -282,7 +342,7 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     few, many = apart.filter(F.col("n") <= SMALL).drop("n"), apart.filter(F.col("n") > SMALL)
     other = few.withColumnsRenamed({"uid": "uid2", "label": "label2", "weight": "weight2"})
     near = few.join(other, "band").filter((F.col("uid") < F.col("uid2")) & (F.col("label") != F.col("label2")) & fits(F.col("weight"), F.col("weight2")))
-    across = near.select(F.col("uid").alias("a"), F.col("uid2").alias("b")).union(prefix_pairs(many.select("uid", "label").distinct().join(sets, "uid"), put)).distinct()
+    across = near.select(F.col("uid").alias("a"), F.col("uid2").alias("b")).union(prefix_pairs(put(many.select("uid", "label").distinct().join(sets, "uid"), "mixed"), put)).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = put(checked(put(across.join(done, ["a", "b"], "left_anti"), "across"), sets), "more")
     if not more.isEmpty():

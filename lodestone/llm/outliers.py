@@ -13,7 +13,8 @@ whole classes, the last one in part. A group's at most CLASSES rows meet in one
 estimates are joined back. Groups of fewer rows than LEAST take their language's estimate, and those of a small language
 the estimate over all; these too come from the summed classes.
 
-Defined results: null text has no words and fails the base rule (fewer than 10 words); null lang and source are groups
+Defined results: null text has no words and fails the base rule (fewer than 10 words); texts of any length are counted
+whole, one at a time; other columns are not looked at; null lang and source are groups
 of their own; repeated rows weigh as rows; a covariance is kept off singular by a floor on each coordinate's variance, so
 groups of equal rows don't reject what differs slightly; an empty table gives no rows.
 """
