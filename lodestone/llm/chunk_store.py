@@ -42,7 +42,7 @@ from lodestone.session import shared_path, ship
 #: A cut follows where these bits of the rolling hash are 0: one in 512. No chunk but a document's last is shorter than LEAST; none is longer than MOST.
 BITS, LEAST, MOST, WINDOW = 9, 128, 4096, 16
 #: Characters of text encoded at a time, and units of text remembered by a worker (emptied when full).
-BYTES, MEMORY = 2_000_000, 300_000
+BYTES, MEMORY = 2_000_000, 1_000_000
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _ODD = re.compile("[^\x20-\x7e\xa1-ɏ]")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
