@@ -348,3 +348,12 @@ def test_rows_may_be_numbered_otherwise_in_a_later_scan(spark, tmp_path, monkeyp
             assert got == [(i, f"{said(60, i % 7)} [REDACTED]") for i in range(16)]
         else:
             assert got == [(r[0], r[1]) for r in rows[:7]]
+
+
+def test_licenses_that_are_denied_or_stand_side_by_side():
+    ix = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [x[0] for x in licenses.matches(text, ix)]
+    for said in ("This work is not licensed under the GNU General Public License, version 3", "It isn't licensed under the MIT License", "CC BY-NC-ND 4.0", "Licensed under CC BY-ND 4.0"):
+        assert names(said) == [], said
+    for one, two in (("mit", "mit-disclaimer"), ("bsd-3-clause", "bsd-disclaimer"), ("bsd-2-clause", "bsd-disclaimer")):
+        assert names(f"{licenses.TEMPLATES[one]} {licenses.TEMPLATES[two]}") == [one, two]
