@@ -265,7 +265,7 @@ def matches(text: str | None, index: Index, least: float = COVERAGE) -> list[tup
             if not telling.search(there):
                 return
             own = set(index.words[t])
-            if any(w in DENIALS and w not in own for a, e in parts for w in words[max(0, a - 2) : e + 1]):
+            if any(w in DENIALS and w not in own for a, e in parts for w in words[max(0, a - 4) : e + 1]):
                 return
         found.append((index.names[t], starts[parts[0][0]], ends[parts[-1][1]], m, m / len(index.words[t]), parts))
 
