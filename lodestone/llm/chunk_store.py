@@ -26,8 +26,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +40,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import byte_letters, spread, tokenizer_path
-from lodestone.llm.common import distinct_spans, map_columns, mix, table, unit_bounds
+from lodestone.llm.common import distinct_spans, eight_bytes, map_columns, mix, table, unit_bounds
 from lodestone.session import shared_path, ship
 
 #: A cut follows where these bits of the rolling hash are 0: one in 512. No chunk but a document's last is shorter than LEAST; none is longer than MOST.
 BITS, LEAST, MOST, WINDOW = 9, 128, 4096, 16
 #: Characters of text encoded at a time, and units of text remembered by a worker (emptied when full).
 BYTES, MEMORY = 2_000_000, 1_000_000
+#: Spans looked up and pieces encoded at a time.
+BLOCK = 16_384
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_ODD = re.compile("[^\x20-\x7e\xa1-ɏ]")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
+#: The pieces of units in lines; a line's end is one by itself.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+|\n| ?[^ \n{_LETTER}{_NUMBER}]+")
+#: White space that is neither a blank nor a line break: what str.isspace() knows, which is more than the splitting knows.
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE = _RARE_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _GEAR = mix(np.arange(1, 65537, dtype=np.uint64))
+_ODD_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first bytes of eight.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids."""
-    n = len(ids)
+def all_cuts(ids: np.ndarray, stops: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each of the streams of ids that lie end to end and stop at these places, from each stream's start."""
+    h = _GEAR[ids & 0xFFFF]
+    k = 1
     with np.errstate(over="ignore"):
-        gear = _GEAR[ids & 0xFFFF]
-        h = np.zeros(n, np.uint64)
-        for i in range(min(WINDOW, n)):
-            h[i:] += gear[: n - i] << np.uint64(i)
-    ends, last = [], 0
-    # the sum's top bits depend on all of the window
-    for c in (np.flatnonzero((mix(h) >> np.uint64(64 - BITS)) == 0) + 1).tolist():
-        while c - last > MOST:
+        while k < WINDOW:  # sums over 2k ids from those over k
+            h[k:] += h[:-k] << np.uint64(k)
+            k *= 2
+    # the sum's top bits depend on all of the window; where it reaches into the stream before, LEAST allows no cut
+    found = np.flatnonzero((mix(h) >> np.uint64(64 - BITS)) == 0) + 1
+    upto, found, out, begin, a = np.searchsorted(found, stops, "right").tolist(), found.tolist(), [], 0, 0
+    for stop, b in zip(stops.tolist(), upto, strict=True):
+        ends, last, n = [], 0, stop - begin
+        for c in found[a:b]:
+            c -= begin
+            while c - last > MOST:
+                last += MOST
+                ends.append(last)
+            if c - last >= LEAST:
+                ends.append(c)
+                last = c
+        while n - last > MOST:
             last += MOST
             ends.append(last)
-        if c - last >= LEAST:
-            ends.append(c)
-            last = c
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return ends
+        if last < n:
+            ends.append(n)
+        out.append(ends)
+        begin, a = stop, b
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -106,6 +124,84 @@ class Roots:
         return root
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n entries."""
+    if len(a) >= n:
+        return a
+    more = np.empty((max(n, 2 * len(a)), *a.shape[1:]), a.dtype)
+    more[: len(a)] = a
+    return more
+
+
+class Units:
+    """Numbers of byte spans, many looked up at a time: those of up to 16 bytes in an open table, longer ones in a dictionary.
+
+    Bytes are compared, so hashes decide nothing; they are salted, so that no text is made to crowd the table.
+    """
+
+    def __init__(self) -> None:
+        self.salt = np.uint64(secrets.randbits(64))
+        self.n, self.key = 0, np.empty((1 << 12, 3), np.uint64)  # the bytes as two numbers, and how many they are
+        self.slot, self.long = np.full(1 << 14, -1, np.int32), {}
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = mix((key[:, 0] ^ mix(key[:, 1] + key[:, 2] * _ODD_FACTOR + self.salt)) * _ODD_FACTOR)
+        return (h & np.uint64(len(self.slot) - 1)).astype(np.int64)
+
+    @staticmethod
+    def keys(u: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first 16 bytes of spans and their lengths; u: the eight bytes from each place on."""
+        size, key = end - start, np.empty((len(start), 3), np.uint64)
+        key[:, 0] = u[start] & _LOW[np.minimum(size, 8)]
+        key[:, 1] = u[np.minimum(start + 8, len(u) - 1)] & _LOW[np.clip(size - 8, 0, 8)]
+        key[:, 2] = size
+        return key
+
+    def find(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each span's number, -1 where it has none."""
+        out, u = np.full(len(start), -1, np.int64), eight_bytes(np.frombuffer(data, np.uint8))
+        for k in range(0, len(start), BLOCK):
+            key = self.keys(u, start[k : k + BLOCK], end[k : k + BLOCK])
+            row, live = out[k : k + BLOCK], np.flatnonzero(key[:, 2] <= 16)
+            key = key[live]
+            at = self._at(key)
+            while len(live):
+                r = self.slot[at]
+                known = np.take(self.key, r, 0, mode="clip")
+                same = (known[:, 0] == key[:, 0]) & (known[:, 1] == key[:, 1]) & (known[:, 2] == key[:, 2])
+                row[live] = np.where(same, r, -1)
+                more = ~same & (r >= 0)
+                live, at, key = live[more], (at[more] + 1) & (len(self.slot) - 1), key[more]
+        for k in np.flatnonzero(end - start > 16).tolist():
+            out[k] = self.long.get(data[start[k] : end[k]], -1)
+        return out
+
+    def add(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers for spans that are distinct and have none."""
+        rows = self.n + np.arange(len(start))
+        self.n += len(rows)
+        self.key = _grown(self.key, self.n)
+        self.key[rows] = self.keys(eight_bytes(np.frombuffer(data, np.uint8)), start, end)
+        for k in np.flatnonzero(end - start > 16).tolist():
+            self.long[data[start[k] : end[k]]] = int(rows[k])
+        if 2 * self.n > len(self.slot):
+            self.slot = np.full(1 << (2 * self.n).bit_length(), -1, np.int32)
+            self._place(np.arange(self.n))
+        else:
+            self._place(rows)
+        return rows
+
+    def _place(self, rows: np.ndarray) -> None:
+        rows = rows[self.key[rows, 2] <= 16]
+        at = self._at(self.key[rows])
+        while len(rows):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = rows[free]
+            lost = self.slot[at] != rows
+            rows, at = rows[lost], (at[lost] + 1) & (len(self.slot) - 1)
+
+
 class Encoder:
     """The library's encoding of whole texts, through a memory of units.
 
@@ -118,32 +214,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u4")
+        self.letters[10] = 10  # stands between pieces, and in none
         self.newline = np.array(self.lib.encode("\n", add_special_tokens=False).ids, np.uint32)
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.flat, self.at, self.many = self.newline.copy(), np.zeros(1, np.int64), np.array([len(self.newline)])
+        """No unit is known: a unit's number r would give its ids, flat[at[r]:][:many[r]]."""
+        self.units = Units()
+        self.flat, self.used = self.newline.copy(), len(self.newline)
+        self.at, self.many = np.zeros(1, np.int64), np.array([len(self.newline)])
+        self.units.add(b"\n", np.zeros(1, np.int64), np.ones(1, np.int64))  # 0 is the line break
 
     @staticmethod
     def _plain(t: str) -> bool:
         if "  " in t or "\n" in t and ("\n\n" in t or " \n" in t or "\n " in t) or t[0].isspace() or t[-1].isspace():
             return False
-        return not any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if t.isascii() else len(t.split()) == t.count(" ") + t.count("\n") + 1
-
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
-        """Of units of Latin letters, digits and ASCII signs the pieces go to the library's model; it splits the others too."""
-        out: list = [None] * len(units)
-        tokenize, other = self.lib.model.tokenize, []
-        for k, u in enumerate(units):
-            if "<|" in u or _ODD.search(u):
-                other.append(k)
-            else:
-                out[k] = [x.id for p in _PIECE.findall(u) for x in tokenize(p.encode().decode("latin-1").translate(self.letters))]
-        for k, e in zip(other, self.lib.encode_batch_fast([units[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+        for c in _RARE_ASCII if t.isascii() else _RARE:
+            if c in t:
+                return False
+        return True
+
+    def _tokenize(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids end to end, and how many each has; a block at a time, for the library's tokens are large."""
+        ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), BLOCK):
+            tokens = list(map(self.lib.model.tokenize, pieces[at : at + BLOCK]))
+            ids.append(np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), np.uint32))
+            count.append(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The units' ids end to end, and how many each has.
+
+        Of units of Latin letters, digits and ASCII signs the pieces go to the library's model; it splits the others too.
+        """
+        lines = b"\n".join(units) + b"\n"
+        b = np.frombuffer(lines, np.uint8)
+        after = np.append(b[1:], np.uint8(0))
+        odd = (b < 32) & (b != 10) | (b == 127) | (b >= 0xCA) | (b == 0xC9) & (after >= 0x90) | (b == 0xC2) & (after <= 0xA0) | (b == 60) & (after == 124)
+        other = np.unique(np.searchsorted(np.flatnonzero(b == 10), np.flatnonzero(odd))).tolist()
+        got: list = []
+        if other:
+            texts = [units[k].decode("utf-8", "surrogatepass") for k in other]
+            got = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            lines = b"\n".join([b"" if k else u for k, u in zip(np.isin(np.arange(len(units)), other).tolist(), units, strict=True)]) + b"\n"
+        pieces = _PIECE.findall(lines.decode())
+        last = np.array([p == "\n" for p in pieces])
+        letters = self.letters[np.frombuffer("\n".join([p for p in pieces if p != "\n"]).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids, count = self._tokenize(letters.split("\n") if letters else [])
+        upto = np.concatenate([[0], np.cumsum(count)])[np.cumsum(~last)[last]]  # ids of the pieces before each line's end
+        many = np.diff(upto, prepend=0)
+        if other:
+            at = np.cumsum(many)[other]
+            size = np.array([len(x) for x in got], np.int64)
+            ids = np.insert(ids, np.repeat(at, size), np.fromiter(chain.from_iterable(got), np.uint32, size.sum()))
+            many[other] = size
+        return ids, many
 
     def _by_units(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -152,22 +279,23 @@ class Encoder:
         start, end = unit_bounds(b)
         before = b[np.maximum(start - 1, 0)]
         blank, line = (before == 32) & (start > 0), (before == 10) & (start > 0)
-        first, inverse = distinct_spans(b, start - blank, end)  # a blank before it is part of a unit
-        keys = [data[x:y] for x, y in zip((start - blank)[first].tolist(), end[first].tolist(), strict=True)]
-        if len(self.row) + len(keys) > MEMORY:
-            self._forget()
-        row = np.array([self.row.get(k, -1) for k in keys], np.int64)
+        begin = start - blank  # a blank before it is part of a unit
+        row = self.units.find(data, begin, end)
         if len(new := np.flatnonzero(row < 0)):
-            units = [keys[i].decode("utf-8", "surrogatepass") for i in new.tolist()]
-            got = self._encode_units(units)
-            many = np.array([len(x) for x in got], np.int64)
-            row[new] = len(self.at) + np.arange(len(new))
-            self.row.update(zip([keys[i] for i in new.tolist()], row[new].tolist(), strict=True))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(many) - many])
-            self.many = np.concatenate([self.many, many])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, many.sum())])
+            first, inverse = distinct_spans(b, begin[new], end[new])
+            if self.units.n + len(first) > MEMORY:
+                self._forget()
+                new = np.arange(len(row))
+                first, inverse = distinct_spans(b, begin, end)
+            x, y = begin[new[first]], end[new[first]]
+            got, many = self._encode_units([data[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+            made = self.units.add(data, x, y)
+            self.at, self.many, self.flat = _grown(self.at, self.units.n), _grown(self.many, self.units.n), _grown(self.flat, self.used + len(got))
+            self.at[made], self.many[made] = self.used + np.cumsum(many) - many, many
+            self.flat[self.used : self.used + len(got)] = got
+            self.used += len(got)
+            row[new] = made[inverse]
         # a unit after a line break has the break's ids, in row 0, before it
-        row = row[inverse]
         breaks = np.flatnonzero(line)
         words = np.searchsorted(start, np.cumsum([len(p) + 1 for p in parts]))
         words = words + np.searchsorted(breaks, words)
@@ -216,17 +344,19 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, pack, row = loaded(tokenizer_path(vocabulary)), set(), TaskContext.get().partitionId(), 0
-        width = "<u2" if max(enc.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        width, closing = "<u2" if max(enc.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4", np.array([end_id], np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode_texts(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    data, ends, digests = ids.astype(width).tobytes(), cuts(ids), []
-                    size, last = int(width[2]), 0
+                streams = [y for x in enc.encode_texts(part.column(1).to_pylist()) for y in (x, closing)]
+                stops = np.cumsum([len(x) for x in streams])[1::2]
+                ids, begin, size = np.concatenate(streams), 0, int(width[2])
+                data = ids.astype(width).tobytes()
+                for doc, stop, ends in zip(part.column(0).to_pylist(), stops.tolist(), all_cuts(ids, stops), strict=True):
+                    digests, last = [], 0
                     for e in ends:
-                        x = data[last * size : e * size]
+                        x = data[(begin + last) * size : (begin + e) * size]
                         digests.append(d := hashlib.sha256(x).digest()[:16])
                         if d not in seen:
                             seen.add(d)
@@ -234,7 +364,8 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                         last = e
                     row += 1
                     uid = hashlib.sha256(b"%d:%d" % (pack, row)).digest()[:16]
-                    out.append((uid, None, doc, len(ids), b"".join(digests), np.diff([0, *ends]).tolist(), merkle(digests), size))
+                    out.append((uid, None, doc, stop - begin, b"".join(digests), [e - a for a, e in zip([0, *ends], ends, strict=False)], merkle(digests), size))
+                    begin = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -306,13 +437,26 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _square(k: int) -> np.ndarray:
+    """x^(8 * 2^k), which moves on by 2^k bytes."""
+    return _times(_square(k - 1), _square(k - 1)) if k else np.array([0x80000000 >> 8], np.uint32)
+
+
+@cache
+def _moved_by(k: int) -> list[np.ndarray]:
+    """For each of a number's four bytes the products of its values with x^(8 * 2^k)."""
+    return [_times(np.repeat(_square(k), 256), np.arange(256, dtype=np.uint32) << np.uint32(8 * i)) for i in range(4)]
+
+
 def crc_moved(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     """What a chunk with this crc32 gives to the crc32 of a whole in which so many bytes follow it; a whole's is the xor of these."""
-    square = np.full(len(crc), 0x80000000 >> 8, np.uint32)  # x^8: one byte on
-    out, n = crc.astype(np.uint32), after.astype(np.int64)
+    out, n, k = crc.astype(np.uint32), after.astype(np.int64), 0
     while n.any():
-        out = np.where(n & 1, _times(square, out), out)
-        square, n = _times(square, square), n >> 1
+        if len(some := np.flatnonzero(n & 1)):
+            x, by = out[some], _moved_by(k)
+            out[some] = by[0][x & 255] ^ by[1][x >> 8 & 255] ^ by[2][x >> 16 & 255] ^ by[3][x >> 24]
+        n, k = n >> 1, k + 1
     return out
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -276,6 +277,69 @@ def test_op5_damage_is_seen(spark, what):
         assert not all(got.values()) and (what != "digests" or [d for d, ok in got.items() if not ok] == [2])
 
 
+def test_op5_known_units_are_looked_up_together():
+    rng, calls = random.Random(8), 0
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 12))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(20)]
+    enc = chunk_store.Encoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+    before = [x.tolist() for x in enc.encode_texts(texts)]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        again = enc.encode_texts(texts)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in again] == before and calls < 3000  # of 8000 words, about 4000 different
+
+
+def test_op5_rare_white_space_and_full_memories(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, enc = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json")), chunk_store.Encoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+    # as many words as blanks and one more, though blanks stand together but for a no-break space
+    texts = ["a \xa0 \xa0 b c\xa0d\xa0e", "a\x1cb c", "été \u3000 x\u3000y", "日本 <|endoftext|> x's 12², \x00 \x7f. ɏ ɐ", "plain, words.\nand lines", "one", "longer words than sixteen characters: characteristically"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for memory in (1_000_000, 3):
+        monkeypatch.setattr(chunk_store, "MEMORY", memory)
+        for _ in range(2):
+            assert [x.tolist() for x in enc.encode_texts(texts)] == want
+            assert [enc.encode_texts([x])[0].tolist() for x in texts] == want
+
+
+def test_op5_units_that_crowd_one_slot(monkeypatch):
+    monkeypatch.setattr(chunk_store.Units, "_at", lambda self, key: np.full(len(key), len(self.slot) - 1))
+    data = b" ".join(b"%d%s" % (i % 300, b"x" * (i % 23)) for i in range(1200)) + b" a a\x00"
+    units, (start, end) = chunk_store.Units(), common.word_bounds(np.frombuffer(data, np.uint8))
+    assert (units.find(data, start, end) == -1).all()
+    first, which = common.distinct_spans(np.frombuffer(data, np.uint8), start, end)
+    half = len(first) // 2
+    for part in (first[:half], first[half:]):
+        units.add(data, start[part], end[part])
+    assert (units.find(data, start, end) == which).all() and which[-1] != which[-2]
+
+
+def test_op5_cuts_of_many_streams():
+    rng = np.random.default_rng(4)
+    gear = [int(x) for x in chunk_store._GEAR]
+    sizes = np.array([1, 15, 127, 128, 3000, 9000, 1, 2000])
+    for most in (2, 50_000):  # ids of two kinds give windows that come again, and long stretches without a cut
+        ids = rng.integers(0, most, sizes.sum()).astype(np.uint32)
+        got = chunk_store.all_cuts(ids, np.cumsum(sizes))
+        for n, begin, ends in zip(sizes.tolist(), (np.cumsum(sizes) - sizes).tolist(), got, strict=True):
+            want, last = [], 0
+            for c in range(1, n + 1):
+                h = sum(gear[ids[begin + c - 1 - i]] << i for i in range(min(chunk_store.WINDOW, c))) % (1 << 64)
+                cut = int(common.mix(np.uint64(h))) >> (64 - chunk_store.BITS) == 0 and c - last >= chunk_store.LEAST
+                if cut or c == n or c - last == chunk_store.MOST:
+                    want.append(c)
+                    last = c
+            assert ends == want
+
+
 def test_op6_rows(result, docs):
     rows = result("op6_toxicity")
     assert {r["doc_id"] for r in rows} == set(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
